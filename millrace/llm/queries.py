@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_mixture, line_frequency, sharding, toxicity_grammar
+from . import class_ngrams, jaccard_join, language_mixture, line_frequency, packing, sharding, toxicity_grammar
 from .common import crc_fold
 
 
@@ -26,6 +26,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_grammar.score(docs.withColumn("held_out", crc_fold("doc_id", 4) == 2), model)
 
 
+def op4_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language_mixture.fit(docs.where(crc_fold("doc_id", 4) != 2))
@@ -33,6 +37,19 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture.identify(rows, model)
 
 
+def op7_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
+
+
+def op8_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (crc_fold("doc_id", 10) == 0).alias("held_out"))
+    model, counts = class_ngrams.fit(docs.where(~F.col("held_out")))
+    return class_ngrams.score(docs, model, counts, keep=["doc_id", "held_out"])
+
+
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
     rows = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("key").alias("law"))
@@ -42,6 +59,9 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_frequency": op2_line_frequency,
     "op3_toxicity": op3_toxicity,
+    "op4_jaccard_tiles": op4_jaccard_tiles,
     "op5_language_mixture": op5_language_mixture,
+    "op7_cutting_stock": op7_cutting_stock,
+    "op8_class_ngrams": op8_class_ngrams,
     "op10_jump_sharding": op10_jump_sharding,
 }

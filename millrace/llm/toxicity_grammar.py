@@ -20,9 +20,13 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from .common import WordHash, lower_words_of, window_hashes
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
 
@@ -81,14 +85,13 @@ def grammar(negated: float = 0.25, reported: float = 0.5, aimed: float = 1.5, sc
     return neg.compose(said).compose(aim).compose(threat)
 
 
-def features_of(text: str, lo: int, hi: int) -> set[str]:
-    """Distinct words of a text and their stems of ``lo`` to ``hi`` letters (marked with ``*``)."""
+def features_of(text: str, lo: int, hi: int) -> Counter[str]:
+    """Distinct words of a text, and stems of ``lo`` to ``hi`` letters (marked with ``*``) with how many of those words have them."""
     words = {w.strip(STRIP) for w in set(text.lower().split())}
-    out = set(words)
+    out = Counter(words)
     for w in words:
-        for k in range(lo, min(hi, len(w) - 1) + 1):
-            out.add(w[:k] + "*")
-    out.discard("")
+        out.update(w[:k] + "*" for k in range(lo, min(hi, len(w) - 1) + 1))
+    del out[""]
     return out
 
 
@@ -171,6 +174,13 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.document(text) @ np.array(self.curve), -30, 30))))
 
 
+@F.pandas_udf(LongType())
+def _sketch(text: pd.Series) -> pd.Series:
+    """Minimum over the hashes of a text's word triples."""
+    words = WordHash()
+    return text.map(lambda t: int(window_hashes(words.array(lower_words_of(t)), 3).min(initial=2**64 - 1)) >> 1).astype("int64")
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     """Ridge logistic regression by Newton's method."""
     b = np.zeros(x.shape[1])
@@ -184,8 +194,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", max_toxic: int = 3000, max_clean: int = 4000, min_share: float = 0.02, min_docs: int = 5, min_log_odds: float = 3.0) -> ToxicityModel:
-    """Learn insult words and stems, and the curve, from a bounded sample of labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", max_toxic: int = 3000, max_clean: int = 4000, min_share: float = 0.03, min_docs: int = 4, min_log_odds: float = 3.0, min_sure: float = 1.7) -> ToxicityModel:
+    """Learn insult words and stems, and the curve, from a bounded sample of labelled rows: those whose log odds, and their lower confidence bound, are high.
 
     The sample holds about ``max_toxic`` and ``max_clean`` documents at most, drawn by hash of
     the key; its keys are the only table broadcast. Executors count features and score the
@@ -199,24 +209,32 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     share = F.when(F.col("_m_y") == 1, min(1.0, max_toxic / n[1])).otherwise(min(1.0, max_clean / n[0]))
     drawn = marked.where(F.pmod(F.xxhash64("_m_key"), F.lit(1 << 20)) < share * (1 << 20))
     sample = docs.select(F.col(key).alias("_m_key"), F.col(text).alias("_m_text")).where(F.col("_m_text").isNotNull()).join(F.broadcast(drawn), "_m_key").select("_m_text", "_m_y")
+    sample = sample.withColumn("_m_sketch", _sketch("_m_text")).dropDuplicates(["_m_sketch", "_m_y"]).drop("_m_sketch")
     lo, hi = ToxicityModel.stem
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Counter(), Counter()
+        both, forms = (Counter(), Counter()), Counter()
         rows = [0, 0]
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                both[y].update(features_of(t, lo, hi))
+                found = features_of(t, lo, hi)
+                both[y].update(found.keys())
+                if y:
+                    forms.update(found)
                 rows[y] += 1
         both[1][""], both[0][""] = rows[1], rows[0]
         names = list(both[0].keys() | both[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([both[y][f] for f in names], pa.int64()) for y in (1, 0))], ["f", "t", "c"])
-
-    sums = sample.mapInArrow(count, "f string, t bigint, c bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    got = {f: (t, c) for f, t, c in sums.where((F.col("f") == "") | (F.col("t") >= max(min_docs, int(min_share * min(n[1], max_toxic))))).collect()}
-    toxic, clean = got.pop("", (0, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([x[f] for f in names], pa.int64()) for x in (both[1], both[0], forms))], ["f", "t", "c", "w"])
+
+    sums = sample.mapInArrow(count, "f string, t bigint, c bigint, w bigint").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    enough = F.col("t") >= max(min_docs, int(min_share * min(n[1], max_toxic)))
+    got = {f: (t, c, w) for f, t, c, w in sums.where((F.col("f") == "") | enough | ((F.col("t") > 1) & (F.col("c") == 0) & (F.col("w") >= 3 * F.col("t")))).collect()}
+    toxic, clean, _ = got.pop("", (0, 0, 0))
+    # a stem that many forms share says more than its few documents
+    got = {f: (max(t, w if c == 0 and w >= 3 * t else 0), c) for f, (t, c, w) in got.items()}
     odds = {f: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))) for f, (t, c) in got.items()}
-    model = ToxicityModel({f: w for f, w in odds.items() if w >= min_log_odds})
+    sure = {f: odds[f] - 1.64 * float(np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))) for f, (t, c) in got.items()}
+    model = ToxicityModel({f: w for f, w in odds.items() if w >= min_log_odds and sure[f] >= min_sure})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
