@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_ngrams, jaccard_join, language_mixture, line_frequency, packing, sharding, toxicity_grammar
+from . import class_ngrams, jaccard_join, language_mixture, line_frequency, packing, passage_chains, sharding, toxicity_grammar
 from .common import crc_fold
 
 
@@ -37,6 +37,10 @@ def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_mixture.identify(rows, model)
 
 
+def op6_passage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_chains.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_jaccard_tiles": op4_jaccard_tiles,
     "op5_language_mixture": op5_language_mixture,
+    "op6_passage_chains": op6_passage_chains,
     "op7_cutting_stock": op7_cutting_stock,
     "op8_class_ngrams": op8_class_ngrams,
     "op10_jump_sharding": op10_jump_sharding,
