@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_ngrams, jaccard_join, language_mixture, line_frequency, packing, passage_chains, sharding, toxicity_grammar
+from . import class_ngrams, jaccard_join, language_mixture, line_frequency, one_bit_search, packing, passage_chains, piece_lattice, sharding, toxicity_grammar
 from .common import crc_fold
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit_search.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.line_quality(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,12 @@ def op8_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_ngrams.score(docs, model, counts, keep=["doc_id", "held_out"])
 
 
+def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_lattice.document_totals(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
     rows = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("key").alias("law"))
@@ -61,6 +71,7 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_one_bit_search": op1_one_bit_search,
     "op2_line_frequency": op2_line_frequency,
     "op3_toxicity": op3_toxicity,
     "op4_jaccard_tiles": op4_jaccard_tiles,
@@ -68,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_passage_chains": op6_passage_chains,
     "op7_cutting_stock": op7_cutting_stock,
     "op8_class_ngrams": op8_class_ngrams,
+    "op9_piece_lattice": op9_piece_lattice,
     "op10_jump_sharding": op10_jump_sharding,
 }
