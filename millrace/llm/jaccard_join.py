@@ -9,9 +9,10 @@ also holds the rest of the document.
 
 In a tile every set is first held against the tile's least one. Parity bitmaps bound the
 overlap from above (each differing bit is an element in one set only); what passes is
-intersected exactly as sorted arrays. Sets that are linked already need no further pairs;
-tiles that still hold two components go on with their next least set until none is left.
-So no group's pairs are all formed, and no link that could join two components is lost.
+intersected exactly as sorted arrays. Sets that are in one component then need no further
+pairs; in tiles that still hold two, the sets of different components are compared by size
+and bitmap in blocks of bounded size, and what passes is intersected exactly. So a group of
+copies never forms all its pairs, and no link that could join two components is lost.
 
 Node ids are 64-bit hashes of the sorted sets.
 
@@ -36,8 +37,6 @@ from .common import WordHash, lower_words_of, mix, staged, window_hashes
 from .graphs import components
 from .members import bitmap, holds
 
-RATIO = 2.0
-
 
 def band_of(n: int) -> int:
     """Band b holds sizes in (2^b, 2^(b+1)]; sets of one n-gram are in band -1."""
@@ -85,8 +84,8 @@ def tile_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parity bitmap: bit ``h mod size`` flips with each element; the size is a power of two near half the set's."""
-    bits = max(64, 1 << max(0, (len(s) // 2 - 1)).bit_length())
+    """Parity bitmap: bit ``h mod size`` flips with each element; the size is a power of two near half the set's, 256 at least."""
+    bits = max(256, 1 << max(0, (len(s) // 2 - 1)).bit_length())
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
@@ -173,7 +172,7 @@ def _passes(a: pd.Series, b: pd.Series, num: pd.Series, den: pd.Series) -> pd.Se
     return pd.Series(out)
 
 
-def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block: int = 512) -> DataFrame:
     """Return (key, n_shingles, component_id, n_links): n_links counts the verified links of the document's set."""
     num, den = F.lit(percent), F.lit(100)
     docs = staged(_shingled(df, key, text, k, percent, 100), "sets")
@@ -192,28 +191,79 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
 
     held = docs.where(F.size("keys") > 0).select("sid", "keys").mapInArrow(shared_only, "tile bigint, sid bigint")
     inside = staged(held.join(tiles.select("tile", "lead"), "tile").distinct(), "members")
-    links = pairs_done = comps = None
-    while True:
-        todo = inside.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"), *(["ca", "cb"] if comps is not None else []))
-        if comps is not None:
-            todo = todo.where("ca <> cb").select("a", "b")
-        todo = todo.distinct()
-        todo = staged(todo if pairs_done is None else todo.join(pairs_done, ["a", "b"], "left_anti"), "pairs")
-        new = staged(_verified(df, todo, meta, text, k, num, den), "links")
-        links = new if links is None else links.unionByName(new)
-        pairs_done = todo if pairs_done is None else pairs_done.unionByName(todo)
+    todo = staged(inside.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
+    links = staged(_verified(df, todo, meta, text, k, num, den), "links")
+    comps = staged(components(links), "components")
+    # the leads have met all of their tiles; what is left are tiles that still hold two components
+    rest = inside.where("sid > lead").select("tile", "sid").join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left")
+    rest = staged(rest.select("tile", "sid", F.coalesce("comp", "sid").alias("comp")), "rest")
+    open_tiles = rest.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+    open_tiles = staged(open_tiles.select("tile", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "tiles")
+    if not open_tiles.isEmpty():
+        more = _between(rest.join(open_tiles, "tile"), meta, percent).join(todo, ["a", "b"], "left_anti")
+        found = staged(_verified(df, staged(more, "pairs"), meta, text, k, num, den), "links")
+        links = links.unionByName(found)
         comps = staged(components(links), "components")
-        # the leads have met all of their tiles; go on where two components are left
-        rest = inside.where("sid > lead").select("tile", "sid").join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        rest = staged(rest, "rest")
-        again = rest.groupBy("tile").agg(F.min(F.struct("sid", "comp")).alias("next"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        again = staged(again.select("tile", F.col("next.sid").alias("lead"), F.col("next.comp").alias("ca")), "tiles")
-        if again.isEmpty():
-            break
-        inside = staged(rest.select("tile", "sid", F.col("comp").alias("cb")).join(again, "tile"), "members")
     return _labelled(docs, links, comps, key)
 
 
+def _between(members: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components in one tile that sizes and bitmaps let pass.
+
+    A tile's members are dealt to blocks of a bounded size by hash, and each two blocks meet in
+    one group, so that the largest group is two blocks whatever the tile's size. Pairs are
+    compared as packed bitmaps inside the group; only those that pass leave it.
+    """
+    cell = members.join(meta, "sid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    cell = cell.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = cell.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "comp", "n", "sig")
+    cell = cell.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compare(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            n, comp, own, sid = (g[c].to_numpy() for c in ("n", "comp", "own", "sid"))
+            least = min(len(x) for x in g["sig"])
+            bits = np.empty((len(g), least), np.uint8)
+            for r, x in enumerate(g["sig"]):
+                y = np.frombuffer(x, np.uint8)
+                while len(y) > least:
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                bits[r] = y
+            left, right = [], []
+            same = g["i"].iloc[0] == g["j"].iloc[0]
+            for r in range(len(g) - 1):
+                ok = (comp[r + 1 :] != comp[r]) & (np.minimum(n[r], n[r + 1 :]) * 100 >= percent * np.maximum(n[r], n[r + 1 :]))
+                if not same:
+                    ok &= own[r + 1 :] != own[r]
+                at = np.flatnonzero(ok) + r + 1
+                if len(at):
+                    apart = np.bitwise_count(bits[at] ^ bits[r]).sum(axis=1, dtype=np.int64)
+                    bound = (n[r] + n[at] - apart) // 2
+                    at = at[100 * bound >= percent * (n[r] + n[at] - bound)]
+                    left += [sid[r]] * len(at)
+                    right += sid[at].tolist()
+            x, y = np.array(left, np.int64), np.array(right, np.int64)
+            return np.minimum(x, y), np.maximum(x, y)
+
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            pdf = b.to_pandas()
+            if held:
+                pdf = pd.concat([*held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            keys = pdf[["tile", "i", "j"]].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(pdf)]])
+            out = [compare(pdf.iloc[s:e]) for s, e in zip(cuts[:-2], cuts[1:-1], strict=True)]
+            held = [pdf.iloc[cuts[-2] :]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out, strict=True)], ["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in compare(held[0])], ["a", "b"])
+
+    return cell.mapInArrow(work, "a bigint, b bigint").distinct()
+
+
 def _verified(df: DataFrame, pairs: DataFrame, meta: DataFrame, text: str, k: int, num, den) -> DataFrame:
     side = lambda x: meta.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= num * F.greatest("na", "nb"))
