@@ -155,7 +155,8 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
 
 def identify(df: DataFrame, model: MixtureModel, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``lang_pred``, ``score`` (its proportion), ``langs`` (the chosen set) and ``shares`` to the ``keep`` columns."""
-    keep = [c for c in df.columns if c != text] if keep is None else keep
+    given = [c for c in df.columns if c != text] if keep is None else keep
+    keep = [c for c in given if c not in {"lang_pred", "score", "langs", "shares"}]  # an input column of a result's name gives way
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

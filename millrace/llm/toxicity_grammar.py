@@ -251,7 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
 
 def score(df: DataFrame, model: ToxicityModel, *, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """Add ``score`` (0 to 1), ``predicted`` and ``n_clauses`` (clauses matched) to the ``keep`` columns."""
-    keep = [c for c in df.columns if c != text] if keep is None else keep
+    given = [c for c in df.columns if c != text] if keep is None else keep
+    keep = [c for c in given if c not in {"score", "predicted", "n_clauses"}]  # an input column of a result's name gives way
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
