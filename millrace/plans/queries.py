@@ -415,10 +415,10 @@ def molecule_shape(spark, d):
     return rounded4(out, "range_x", "q50_y").select("mol", "n_atoms", F.col("n_C").alias("n_c"), "unsaturation", "range_x", "q50_y")
 
 
-@query(f"""SELECT id, round(sqrt(pow((p.x + q.x) / 2 - c.x, 2) + pow((p.y + q.y) / 2 - c.y, 2) + pow((p.z + q.z) / 2 - c.z, 2)), 3) AS centre_mid FROM {TARGETS} t JOIN atoms p ON p.mol = t.mol AND p.ai = t.a0 JOIN atoms q ON q.mol = t.mol AND q.ai = t.a1
+@query(f"""SELECT id, round(sqrt(pow((p.x + q.x) / 2 - c.x, 2) + pow((p.y + q.y) / 2 - c.y, 2) + pow((p.z + q.z) / 2 - c.z, 2)), 7) AS centre_mid FROM {TARGETS} t JOIN atoms p ON p.mol = t.mol AND p.ai = t.a0 JOIN atoms q ON q.mol = t.mol AND q.ai = t.a1
 JOIN (SELECT mol, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM atoms GROUP BY mol) c ON c.mol = t.mol""")
 def molecule_centre(spark, d):
-    return rounded4(molecules.centre_features(target_pairs(spark, d), atoms(spark, d)), "centre_mid", digits=3).select("id", "centre_mid")
+    return rounded4(molecules.centre_features(target_pairs(spark, d), atoms(spark, d)), "centre_mid", digits=7).select("id", "centre_mid")
 
 
 @query("""SELECT mol, ai, round(avg(c), 3) + 0.0 AS cos_avg, round(var_pop(c), 3) + 0.0 AS cos_var FROM (SELECT e.mol, e.a0 AS ai, (e.x * f.x + e.y * f.y + e.z * f.z) / nullif(sqrt(e.x * e.x + e.y * e.y + e.z * e.z) * sqrt(f.x * f.x + f.y * f.y + f.z * f.z), 0) AS c
