@@ -15,9 +15,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,12 @@ def lower_words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def texts_of(column: pa.Array, step: int = 256) -> Iterator[str | None]:
+    """The texts of an Arrow column, made in small slices so that a batch's strings are never all in Python at once."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 def crc_fold(key: str, k: int) -> Column:
     """Fold of a row: CRC-32 of the key as text, modulo ``k``. A null key counts as an empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % k
@@ -70,7 +77,7 @@ def crc_fold(key: str, k: int) -> Column:
 class WordHash(dict):
     """word -> 64-bit hash, remembered; forgets all when it has grown to ``bound`` words."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         import xxhash
 
