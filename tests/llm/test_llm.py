@@ -160,6 +160,22 @@ def test_passages(docs, local):
     assert passage_chains.repeated_passages(docs.where("false")).count() == 0
 
 
+def test_passages_far_apart(spark):
+    one, two = prose(501, 400), prose(502, 300)
+    rows = [(1, f"{one} {prose(503, 80)} {two}"), (2, f"{one} {prose(504, 80)} {two}"), (3, f"{prose(505, 30)} {one} {prose(506, 200)} {two}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    places = {1: [(0, 400), (480, 780)], 2: [(0, 400), (480, 780)], 3: [(30, 430), (630, 930)]}
+    spans = passage_chains.repeated_passages(df).collect()
+    for d in (2, 3):
+        got = sorted((r.start_word, r.end_word, r.first_id, r.first_start, r.first_end) for r in spans if r.doc_id == d)
+        assert len(got) == 2
+        for (s, e), (fs, fe), r in zip(places[d], places[1], got, strict=True):
+            assert r[2] == 1 and np.abs(np.array([r[0] - s, r[1] - e, r[3] - fs, r[4] - fe])).max() <= 2
+    k, step = 6, np.arange(0, 300, 7)
+    x, y = np.concatenate([step, step + 400]), np.concatenate([step, step + 400])
+    assert sorted(len(c) for c in passage_chains.chains(x, y, k)) == [len(step)] * 2
+
+
 def test_packing(docs, local):
     from tokenizers import Tokenizer
 
