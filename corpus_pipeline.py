@@ -33,7 +33,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least id of each class of near copies (five words, 0.8); of rows that repeat it, one."""
-    classes = jaccard_join.jaccard_components(docs, k=5, percent=80)
+    classes = jaccard_join.jaccard_components(docs, k=5, percent=80, with_links=False)
     stays = classes.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_m_stays")).distinct()
     kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_m_stays")), "left_semi")
     # repeated rows: at most a few rows carry one id, and one of them stays

@@ -14,6 +14,10 @@ pairs; in tiles that still hold two, the sets of different components are compar
 and bitmap in blocks of bounded size, and what passes is intersected exactly. So a group of
 copies never forms all its pairs, and no link that could join two components is lost.
 
+Links are counted after that: both ends of a link are in one component, so the sets of each
+component meet in blocks of bounded size, where exact overlaps are counted as products of
+membership matrices. Only counts leave a block, each pair of sets being in exactly one.
+
 Node ids are 64-bit hashes of the sorted sets.
 
 Defined cases: null and empty texts have empty sets and are linked with nothing; a text of
@@ -172,8 +176,8 @@ def _passes(a: pd.Series, b: pd.Series, num: pd.Series, den: pd.Series) -> pd.Se
     return pd.Series(out)
 
 
-def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block: int = 512) -> DataFrame:
-    """Return (key, n_shingles, component_id, n_links): n_links counts the verified links of the document's set."""
+def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block: int = 512, with_links: bool = True) -> DataFrame:
+    """Return (key, n_shingles, component_id, n_links): n_links counts the other rows that the row is linked with, equal sets included."""
     num, den = F.lit(percent), F.lit(100)
     docs = staged(_shingled(df, key, text, k, percent, 100), "sets")
     meta = docs.where(F.col("sig").isNotNull()).groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -192,7 +196,8 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     held = docs.where(F.size("keys") > 0).select("sid", "keys").mapInArrow(shared_only, "tile bigint, sid bigint")
     inside = staged(held.join(tiles.select("tile", "lead"), "tile").distinct(), "members")
     todo = staged(inside.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
-    links = staged(_verified(df, todo, meta, text, k, num, den), "links")
+    links, arrays = _verified(df, todo, meta, text, k, num, den)
+    links = staged(links, "links")
     comps = staged(components(links), "components")
     # the leads have met all of their tiles; what is left are tiles that still hold two components
     rest = inside.where("sid > lead").select("tile", "sid").join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left")
@@ -201,10 +206,12 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
     open_tiles = staged(open_tiles.select("tile", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "tiles")
     if not open_tiles.isEmpty():
         more = _between(rest.join(open_tiles, "tile"), meta, percent).join(todo, ["a", "b"], "left_anti")
-        found = staged(_verified(df, staged(more, "pairs"), meta, text, k, num, den), "links")
-        links = links.unionByName(found)
+        found, more_arrays = _verified(df, staged(more, "pairs"), meta, text, k, num, den)
+        links = links.unionByName(staged(found, "links"))
+        arrays = arrays.unionByName(more_arrays.join(arrays.select("sid"), "sid", "left_anti"))
         comps = staged(components(links), "components")
-    return _labelled(docs, links, comps, key)
+    out = _labelled(docs, comps, key, _degrees(docs, comps, arrays, percent) if with_links else None)
+    return out if with_links else out.drop("n_links")
 
 
 def _between(members: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
@@ -264,21 +271,91 @@ def _between(members: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
     return cell.mapInArrow(work, "a bigint, b bigint").distinct()
 
 
-def _verified(df: DataFrame, pairs: DataFrame, meta: DataFrame, text: str, k: int, num, den) -> DataFrame:
+def _verified(df: DataFrame, pairs: DataFrame, meta: DataFrame, text: str, k: int, num, den) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that pass, and (sid, arr) of all sets whose pairs had to be intersected."""
     side = lambda x: meta.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= num * F.greatest("na", "nb"))
     near = staged(near.where(_may_pass("na", "nb", "sa", "sb", num, den)).select("a", "b"), "near")
     arrays = _arrays(df, text, k, bitmap(near.select(F.explode(F.array("a", "b")).alias("x")), "x")).groupBy("sid").agg(F.first("arr").alias("arr"))
     arrays = staged(arrays, "arrays")
     both = near.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("xa")), "a").join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("xb")), "b")
-    return both.where(_passes("xa", "xb", num, den)).select("a", "b")
+    return both.where(_passes("xa", "xb", num, den)).select("a", "b"), arrays
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int, step: int = 2048) -> np.ndarray:
+    """Matrix of which sets of ``a`` and ``b`` pass; columns of the membership matrices are taken ``step`` at a time."""
+    sizes = np.array([len(x) for x in [*a, *b]], np.int64)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    values, col, times = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    # an element of one set only adds to no overlap
+    keep = times > 1
+    rows, col = rows[keep[col]], (np.cumsum(keep) - 1)[col[keep[col]]]
+    order = np.argsort(col, kind="stable")
+    rows, col = rows[order], col[order]
+    both = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, int(keep.sum()), step):
+        lo, hi = np.searchsorted(col, [at, at + step])
+        m = np.zeros((len(sizes), step), np.float32)
+        m[rows[lo:hi], col[lo:hi] - at] = 1
+        both += m[: len(a)] @ m[len(a) :].T
+    both = both.astype(np.int64)
+    return 100 * both >= percent * (sizes[: len(a), None] + sizes[None, len(a) :] - both)
+
+
+def _degrees(docs: DataFrame, comps: DataFrame, arrays: DataFrame, percent: int, block: int = 1024, elements: int = 500_000) -> DataFrame:
+    """(sid, n_links): rows with another set that a set passes with.
+
+    A component's sets are dealt to blocks bounded in sets and elements, and each two blocks
+    meet in one group.
+    """
+    copies = docs.where("n > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
+    of = staged(comps.select(F.col("node").alias("sid"), "comp").join(copies, "sid"), "linked")
+    blocks = of.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / elements)).cast("int").alias("blocks"))
+    cell = of.select("sid", "comp", "copies").join(blocks, "comp").join(arrays, "sid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    cell = cell.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = cell.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "copies", "arr")
+    cell = cell.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def count(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            sid, own, copies = (g[c].to_numpy() for c in ("sid", "own", "copies"))
+            sets = [np.frombuffer(x, np.uint64) for x in g["arr"]]
+            i, j = g["i"].iloc[0], g["j"].iloc[0]
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            if not len(left) or not len(right):
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            ok = linked([sets[r] for r in left], [sets[r] for r in right], percent)
+            if i == j:
+                np.fill_diagonal(ok, False)
+                return sid, ok @ copies
+            return np.concatenate([sid[left], sid[right]]), np.concatenate([ok @ copies[right], ok.T @ copies[left]])
+
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            pdf = b.to_pandas()
+            if held:
+                pdf = pd.concat([*held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            keys = pdf[["comp", "i", "j"]].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(pdf)]])
+            out = [count(pdf.iloc[s:e]) for s, e in zip(cuts[:-2], cuts[1:-1], strict=True)]
+            held = [pdf.iloc[cuts[-2] :]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).astype(np.int64)) for z in zip(*out, strict=True)], ["sid", "n_links"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int64)) for z in count(held[0])], ["sid", "n_links"])
+
+    return cell.mapInArrow(work, "sid bigint, n_links bigint").groupBy("sid").agg(F.sum("n_links").alias("n_links"))
 
 
-def _labelled(docs: DataFrame, links: DataFrame, comps: DataFrame, key: str) -> DataFrame:
-    sets = docs.where("n > 0").groupBy("sid").agg(F.min("key").alias("least")).join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+def _labelled(docs: DataFrame, comps: DataFrame, key: str, degree: DataFrame | None) -> DataFrame:
+    """``degree`` counts links between sets; rows of equal sets are added here."""
+    sets = docs.where("n > 0").groupBy("sid").agg(F.min("key").alias("least"), (F.count("*") - 1).alias("equal")).join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     names = sets.groupBy("comp").agg(F.min("least").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
-    of = staged(sets.join(names, "comp").join(degree, "sid", "left").select("sid", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    if degree is None:
+        degree = comps.select(F.col("node").alias("sid"), F.lit(0).cast("bigint").alias("n_links"))
+    of = staged(sets.join(names, "comp").join(degree, "sid", "left").select("sid", "component_id", (F.col("equal") + F.coalesce("n_links", F.lit(0))).alias("n_links")), "classes")
     out = docs.select("key", "n", "sid").join(of, "sid", "left")
     own = F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.coalesce("component_id", "key")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

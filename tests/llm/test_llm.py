@@ -1,6 +1,7 @@
 """Each operator against a brute-force version or a round trip, and on odd tables."""
 
 import collections
+import functools
 import re
 import zlib
 
@@ -112,6 +113,40 @@ def test_jaccard(docs, local):
     assert jaccard_join.jaccard_components(docs.where("false")).count() == 0
 
 
+def test_jaccard_links(spark):
+    base = [prose(700 + i, 120).split() for i in range(3)]
+    texts = []
+    for b, copies in zip(base, (40, 3, 5), strict=True):
+        for c in range(copies):
+            r = np.random.default_rng(len(texts))
+            w = list(b)
+            for at in r.choice(120, int(r.integers(0, 4)), replace=False):
+                w[at] = f"own{len(texts)}"
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[0].upper(), texts[41], None, "", "alone"]
+    rows = [(i if i % 11 else None, t) for i, t in enumerate(texts)]
+    sets = []
+    for t in texts:
+        w = lower_words_of(t)
+        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+    want = [sum(a != b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for b in range(len(sets)) if sets[a] and sets[b]) for a in range(len(sets))]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85).collect()
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1:])
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=key) == sorted(((d, len(s), n) for (d, _), s, n in zip(rows, sets, want, strict=True)), key=key)
+    assert max(want) > 10
+    r = np.random.default_rng(3)
+    many = [np.unique(r.integers(0, 60, 40)).astype(np.uint64) for _ in range(50)]
+    brute = np.array([[100 * len(np.intersect1d(x, y)) >= 50 * len(np.union1d(x, y)) for y in many] for x in many])
+    assert all((jaccard_join.linked(many, many, 50, step=s) == brute).all() for s in (7, 2048)) and 0 < brute.mean() < 1
+
+
+def test_jaccard_links_in_blocks(spark, monkeypatch):
+    base = prose(800, 90).split()
+    df = spark.createDataFrame([(i, " ".join([*base, f"end{i % 20}"])) for i in range(30)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "_degrees", functools.partial(jaccard_join._degrees, block=4))
+    assert {r.n_links for r in jaccard_join.jaccard_components(df).collect()} == {29}
+
+
 def test_tiles_meet():
     r = np.random.default_rng(5)
     for n in (7, 13, 40, 129, 700):
