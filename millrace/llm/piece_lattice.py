@@ -44,6 +44,14 @@ def vocabulary(path: str) -> tuple[list[tuple[str, int, float]], frozenset[str],
     return rows, pairs, m.piece_to_id("<0x00>")
 
 
+@functools.cache
+def pieces_by_id(path: str) -> list[str]:
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [m.id_to_piece(i) for i in range(m.get_piece_size())]
+
+
 def words_of(text: str | None, pairs: frozenset[str]) -> list[str]:
     if not text:
         return []
@@ -162,7 +170,7 @@ def decode(ids: Column, pieces: Column, byte0: int = 3) -> Column:
 
 
 def encode_documents(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", kind: str = "bpe") -> DataFrame:
-    """(key, ids): whole id arrays, by a shuffle join of (row, place, word) with the encoded words."""
+    """(key, n_words, ids): whole id arrays, by a shuffle join of (row, place, word) with the encoded words."""
     rows = staged(df.select(F.col(key).alias("_m_key"), F.col(text).alias("_m_text"), F.monotonically_increasing_id().alias("_m_row")), "rows")
     words = encode_words(count_units(rows, "_m_text", path), df.sparkSession, path, kind)
 
@@ -174,7 +182,22 @@ def encode_documents(df: DataFrame, path: str, *, key: str = "doc_id", text: str
     spread = rows.select("_m_row", "_m_text").mapInArrow(split, "_m_row bigint, words array<string>").select("_m_row", F.posexplode("words").alias("at", "word"))
     whole = spread.join(words.select("word", "ids"), "word").groupBy("_m_row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("all"))
     none = F.array().cast("array<int>")
-    return rows.select("_m_row", F.col("_m_key").alias(key)).join(whole, "_m_row", "left").select(key, F.coalesce(F.flatten(F.transform("all", lambda x: x["ids"])), none).alias("ids"))
+    return rows.select("_m_row", F.col("_m_key").alias(key)).join(whole, "_m_row", "left").select(key, F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_words"), F.coalesce(F.flatten(F.transform("all", lambda x: x["ids"])), none).alias("ids"))
+
+
+def round_trips(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", kind: str = "bpe") -> DataFrame:
+    """(key, n_words, n_pieces, id_sum, ids, decodes): every text encoded, and whether its ids decode to it.
+
+    The decoded text is compared with the input's by length and 64-bit hash, which travel in its text's place.
+    A text that holds the blank mark itself does not decode to itself, for the model has no other sign for a blank.
+    """
+    pieces, byte0 = df.sparkSession.createDataFrame([(pieces_by_id(path),)], "_m_pieces array<string>"), vocabulary(path)[2]
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.struct(F.col(key).alias("key"), F.length(body).alias("n"), F.xxhash64(body).alias("h")).alias("_m_id"), F.col(text).alias("_m_text"))
+    coded = encode_documents(rows, path, key="_m_id", text="_m_text", kind=kind).crossJoin(F.broadcast(pieces))
+    same = let(decode(F.col("ids"), F.col("_m_pieces"), byte0), lambda t: (F.length(t) == F.col("_m_id.n")) & (F.xxhash64(t) == F.col("_m_id.h")))
+    total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return coded.select(F.col("_m_id.key").alias(key), "n_words", F.size("ids").cast("long").alias("n_pieces"), total.alias("id_sum"), "ids", same.alias("decodes"))
 
 
 def document_totals(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", kind: str = "bpe", head: int = 1 << 18) -> DataFrame:

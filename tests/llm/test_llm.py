@@ -273,6 +273,23 @@ def test_pieces(spark, docs, local):
             assert (r.n_pieces, r.id_sum) == (len(ids), sum(ids))
 
 
+def test_pieces_query(spark, docs, tmp_path):
+    import sentencepiece
+
+    from millrace.llm import queries
+
+    odd = spark.createDataFrame([(900, "a b c"), (901, "c b a"), (902, "tab\tnew\nline 日本語 🙂 "), (903, "its own ▁ mark"), (None, "no key")], "doc_id long, text string")
+    df = docs.select("doc_id", "text").unionByName(odd)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    out = queries.op9_piece_lattice(spark, str(tmp_path)).collect()
+    assert len(out) == df.count()
+    for r in out:
+        ids = sp.encode(texts[r.doc_id])
+        assert (r.ids, r.n_pieces, r.id_sum, r.decodes) == (ids, len(ids), sum(ids), r.doc_id != 903)
+
+
 def test_search(spark):
     v = np.random.default_rng(1).standard_normal((1500, 24))
     rows = [(i, [float(np.float32(y)) for y in x]) for i, x in enumerate(v)]
