@@ -11,12 +11,14 @@ byte pieces.
 
 Defined cases: a null or empty text has no words and no pieces; repeated rows encode alike,
 each with its own row; words of more than ``LONG`` characters are cut where no piece has the
-two characters next to each other (exact), and where none is so, at ``LONG`` characters.
+two characters next to each other (exact); what is longer still doesn't fit the bitmap and is
+encoded in Python, by the same merges or path.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -64,20 +66,75 @@ def words_of(text: str | None, pairs: frozenset[str]) -> list[str]:
 def _cut(word: str, pairs: frozenset[str]) -> list[str]:
     out, start = [], 0
     for i in range(1, len(word)):
-        if word[i - 1 : i + 1] not in pairs or i - start >= LONG:
+        if word[i - 1 : i + 1] not in pairs:
             out.append(word[start:i])
             start = i
     return [*out, word[start:]]
 
 
-def count_units(df: DataFrame, text: str, path: str) -> DataFrame:
-    """(word, c): distinct words and how often they come, summed in the task first."""
+def _merged(word: str, table: dict[str, tuple[int, float]]) -> list[str]:
+    """Symbols of a word after all merges, best priority first, then leftmost."""
+    at, after, before = list(word), [*range(1, len(word)), -1], list(range(-1, len(word) - 1))
+    heap: list[tuple[float, int, int, int]] = []
+
+    def offer(i: int, j: int) -> None:
+        if i >= 0 and j >= 0 and (got := table.get(at[i] + at[j])):
+            heapq.heappush(heap, (-got[1], i, len(at[i]), len(at[j])))
+
+    for i in range(len(word) - 1):
+        offer(i, i + 1)
+    while heap:
+        _, i, n, m = heapq.heappop(heap)
+        j = after[i]
+        if len(at[i]) != n or j < 0 or len(at[j]) != m:
+            continue
+        at[i], at[j], after[i] = at[i] + at[j], "", after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        offer(before[i], i)
+        offer(i, after[i])
+    return [x for x in at if x]
+
+
+def _best_path(word: str, table: dict[str, tuple[int, float]], longest: int, unknown: float = -100.0) -> list[str]:
+    """Symbols of the path of greatest score; a character without a piece counts ``unknown``."""
+    best, back = [0.0], [0]
+    for e in range(1, len(word) + 1):
+        ways = [(best[s] + (table[p][1] if (p := word[s:e]) in table else unknown), s) for s in range(max(0, e - longest), e) if s == e - 1 or word[s:e] in table]
+        score, start = max(ways)
+        best.append(score)
+        back.append(start)
+    out, e = [], len(word)
+    while e:
+        out.append(word[back[e] : e])
+        e = back[e]
+    return out[::-1]
+
+
+@functools.cache
+def _table(path: str) -> tuple[dict[str, tuple[int, float]], int]:
+    rows = vocabulary(path)[0]
+    return {p: (i, s) for p, i, s in rows}, max((len(p) for p, _, _ in rows), default=1)
+
+
+def long_ids(word: str, path: str, kind: str = "bpe") -> list[int]:
+    """Ids of a word too long for the lattice's bitmap."""
+    (table, longest), byte0 = _table(path), vocabulary(path)[2]
+    out: list[int] = []
+    for p in _merged(word, table) if kind == "bpe" else _best_path(word, table, longest):
+        out += [table[p][0]] if p in table else [byte0 + b for b in p.encode("utf-8")]
+    return out
+
+
+def count_units(df: DataFrame, text: str, path: str, kind: str = "bpe") -> DataFrame:
+    """(word, c, long): distinct words and how often they come, summed in the task first; ``long`` holds the ids of words over ``LONG``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, c = vocabulary(path)[1], Counter()
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
+            whole = [long_ids(w, path, kind) if len(w) > LONG else None for w in c]
+            got = pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64()), pa.array(whole, pa.list_(pa.int32()))], ["word", "c", "long"])
             c.clear()
             return got
 
@@ -88,7 +145,7 @@ def count_units(df: DataFrame, text: str, path: str) -> DataFrame:
                     yield out()
         yield out()
 
-    return df.select(F.col(text).alias("_m_text")).mapInArrow(work, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return df.select(F.col(text).alias("_m_text")).mapInArrow(work, "word string, c bigint, long array<int>").groupBy("word", "long").agg(F.sum("c").alias("c"))
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -96,17 +153,19 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lattice(words: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """(word, c, edges): for each word its lattice, an array of (priority, start, length, id).
+    """(word, c, long, edges): for each word its lattice, an array of (priority, start, length, id).
 
     The piece table (as large as the vocabulary, which the model fixes) is broadcast. ``words``
     comes hash-partitioned by word, so grouping its edges moves nothing.
     """
     longest = max((len(p) for p, _, _ in vocabulary(path)[0]), default=1)
-    starts = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - i + 1)), lambda n: F.struct(i.alias("s"), n.alias("n"))))))
-    spans = words.select("word", "c", starts.alias("e")).withColumn("piece", F.substring("word", F.col("e.s"), F.col("e.n")))
+    # a long word has its ids already: of its lattice only the first character's edge is made
+    upto = F.when(F.col("long").isNull(), F.length("word")).otherwise(F.lit(1))
+    starts = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), upto), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), upto - i + 1)), lambda n: F.struct(i.alias("s"), n.alias("n"))))))
+    spans = words.select("word", "c", "long", starts.alias("e")).withColumn("piece", F.substring("word", F.col("e.s"), F.col("e.n")))
     edges = spans.join(F.broadcast(piece_table(spark, path)), "piece", "left").where(F.col("id").isNotNull() | (F.col("e.n") == 1))
     edge = F.struct((-F.col("score")).alias("o"), (F.col("e.s") - 1).alias("s"), F.col("e.n").alias("n"), "id")
-    return edges.groupBy("word", "c").agg(F.collect_list(edge).alias("edges"))
+    return edges.groupBy("word", "c", "long").agg(F.collect_list(edge).alias("edges"))
 
 
 def merged_borders(edges: Column, length: Column) -> Column:
@@ -160,7 +219,7 @@ def encode_words(words: DataFrame, spark: SparkSession, path: str, kind: str = "
 
         return let(cuts, ids)
 
-    return table.select("word", "c", let(mask, pieces).alias("ids"))
+    return table.select("word", "c", F.when(F.col("long").isNotNull(), F.col("long")).otherwise(let(mask, pieces)).alias("ids"))
 
 
 def decode(ids: Column, pieces: Column, byte0: int = 3) -> Column:
@@ -172,7 +231,7 @@ def decode(ids: Column, pieces: Column, byte0: int = 3) -> Column:
 def encode_documents(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", kind: str = "bpe") -> DataFrame:
     """(key, n_words, ids): whole id arrays, by a shuffle join of (row, place, word) with the encoded words."""
     rows = staged(df.select(F.col(key).alias("_m_key"), F.col(text).alias("_m_text"), F.monotonically_increasing_id().alias("_m_row")), "rows")
-    words = encode_words(count_units(rows, "_m_text", path), df.sparkSession, path, kind)
+    words = encode_words(count_units(rows, "_m_text", path, kind), df.sparkSession, path, kind)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = vocabulary(path)[1]
@@ -207,7 +266,7 @@ def document_totals(df: DataFrame, path: str, *, key: str = "doc_id", text: str
     shuffle join; they are rarer than any head word, so no key of it is hot.
     """
     spark = df.sparkSession
-    encoded = encode_words(count_units(df, text, path), spark, path, kind)
+    encoded = encode_words(count_units(df, text, path, kind), spark, path, kind)
     sums = staged(encoded.select("word", "c", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("s")), "encoded")
     top = sums.orderBy(F.desc("c"), "word").limit(head).select("word", "n", "s").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), zip(top["n"].to_pylist(), top["s"].to_pylist(), strict=True), strict=True)))

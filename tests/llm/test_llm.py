@@ -273,6 +273,22 @@ def test_pieces(spark, docs, local):
             assert (r.n_pieces, r.id_sum) == (len(ids), sum(ids))
 
 
+def test_long_pieces(spark):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = np.random.default_rng(8)
+    texts = ["=" * 80, "-" * 100, "a" * 100, "".join(r.choice(list("etaoinshrdlu"), 120)), "x " + "=" * 61 + " y", "-" * 3000, "é" * 90, "🙂" * 70, "ab" * 31 + "日" + "=" * 75, "=" * 60, "=" * 59]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in piece_lattice.round_trips(df, path).collect():
+        assert x.ids == sp.encode(texts[x.doc_id]) and x.decodes
+    for x in piece_lattice.document_totals(df, path).collect():
+        assert (x.n_pieces, x.id_sum) == (len(sp.encode(texts[x.doc_id])), sum(sp.encode(texts[x.doc_id])))
+    table = {p: (i, s) for i, (p, s) in enumerate([("a", -2.0), ("b", -2.0), ("ab", -3.0), ("aba", -3.5)])}
+    assert piece_lattice._best_path("abab", table, 3) == ["aba", "b"]
+
+
 def test_pieces_query(spark, docs, tmp_path):
     import sentencepiece
 
