@@ -31,19 +31,28 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity_grammar.score(docs, model, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with ``_m_row``, a number of their own in order of id, null ids last.
+
+    Written before use, so that every reader sees the same numbers. Stages that tell rows
+    apart by it neither join rows that lack an id nor mix texts that repeat one.
+    """
+    rows = docs.select(*COLUMNS).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*COLUMNS))
+    return staged(rows.withColumn("_m_row", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each class of near copies (five words, 0.8); of rows that repeat it, one."""
-    classes = jaccard_join.jaccard_components(docs, k=5, percent=80, with_links=False)
-    stays = classes.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_m_stays")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_m_stays")), "left_semi")
-    # repeated rows: at most a few rows carry one id, and one of them stays
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("_m_row")).select("doc_id", *[F.col(f"_m_row.{c}").alias(c) for c in COLUMNS[1:]])
+    """Keep the first row of each class of near copies (five words, 0.8): the one of least id, a null id after all others."""
+    rows = numbered(docs)
+    classes = jaccard_join.jaccard_components(rows, key="_m_row", k=5, percent=80, with_links=False)
+    return rows.join(classes.where("_m_row = component_id").select("_m_row"), "_m_row", "left_semi").select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages that an earlier document holds out of later ones; a text of which nothing is left goes."""
-    spans = passage_chains.repeated_passages(docs)
-    cut = passage_chains.cut_passages(docs, spans)
+    """Cut passages that an earlier row holds out of later ones; a text of which nothing is left goes."""
+    rows = numbered(docs)
+    spans = passage_chains.repeated_passages(rows, key="_m_row")
+    cut = passage_chains.cut_passages(rows, spans, key="_m_row")
     left = cut.where(F.col("text").isNull() | (F.length(F.trim("text")) > 0) | (F.col("n_chars") == 0))
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 

@@ -147,6 +147,39 @@ def test_jaccard_links_in_blocks(spark, monkeypatch):
     assert {r.n_links for r in jaccard_join.jaccard_components(df).collect()} == {29}
 
 
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    base = [prose(900 + i, 90) for i in range(8)]
+    near = [f"{t} end" for t in base]
+    shared = prose(950, 80)
+    rows = [(None, base[0]), (None, base[1]), (None, near[1]), (5, base[2]), (5, base[3]), (5, base[3]), (9, near[0]), (3, near[2]), (6, ""), (7, None), (None, None)]
+    rows += [(20, f"{shared} {base[4]}"), (30, f"{base[5]} {shared}"), (30, base[6]), (None, f"{base[7]} {shared}")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = []
+    for _, t in rows:
+        w = lower_words_of(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    group = {i: i for i in order}
+    for i in order:
+        for j in order:
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = group[j], group[i]
+                group = {x: new if g == old else g for x, g in group.items()}
+    classes = collections.defaultdict(list)
+    for i in order:
+        classes[group[i]].append(i)
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    # of base[1] and its near copy neither has an id: either may stay
+    free = {(None, near[1]): (None, base[1])}
+    assert collections.Counter(free.get(r, r) for r in got) == collections.Counter(free.get(rows[c[0]], rows[c[0]]) for c in classes.values())
+    cut = collections.Counter((r.doc_id, (r.text or "").strip()) for r in corpus_pipeline.passages(spark, kept, "").collect())
+    assert sum(cut.values()) == len(got)
+    assert cut[(20, f"{shared} {base[4]}")] == cut[(30, base[5])] == cut[(30, base[6])] == cut[(None, base[7])] == cut[(5, base[3])] == 1
+
+
 def test_tiles_meet():
     r = np.random.default_rng(5)
     for n in (7, 13, 40, 129, 700):
