@@ -1,9 +1,9 @@
 """Quality rules with cross-document line frequency, in DataFrame expressions only.
 
 Lines are normalised (trimmed, blanks collapsed, lower-cased) and hashed. On each host
-a line is counted once for each distinct text that holds it, so repeated rows and exact
-copies don't count against one another. Lines found in more documents than the host's
-limit are removed, and documents that keep too little are rejected.
+a line is counted once for each document that holds it, so repeated rows don't count
+against one another, while copies of a page under other keys do. Lines found in more
+documents than the limit are removed, and documents that keep too little are rejected.
 
 Defined cases: a null text is empty (no words, base fails); a null host is a host of its
 own; ties and repeated rows get equal verdicts; an empty table gives an empty result.
@@ -65,8 +65,7 @@ def line_quality(
     text: str = "text",
     key: str = "doc_id",
     host: str = "source",
-    max_share: float = 0.1,
-    min_docs: int = 20,
+    max_docs: int = 20,
     min_kept_share: float = 0.3,
     min_words: int = 10,
     max_repeat_percent: int = 20,
@@ -75,8 +74,8 @@ def line_quality(
 ) -> DataFrame:
     """Return one row per input row: the key, base counts, what was removed, and ``kept``.
 
-    A line is removed on a host if it is in more than ``max(min_docs, max_share * documents
-    of the host)`` distinct texts there; a document is depleted if less than
+    A line is removed on a host if it is in more than ``max_docs`` documents there, however
+    large the host is; a document is depleted if less than
     ``min_kept_share`` of its words, or fewer than ``min_words``, remain. ``with_text``
     adds the text without the removed lines.
 
@@ -105,9 +104,9 @@ def line_quality(
     )
     spread = keyed.select("_m_key", "_m_host", "_m_hash", F.explode(lines).alias("_m_line"))
     spread = spread.select("_m_key", "_m_host", "_m_hash", F.xxhash64(normal_line(F.col("_m_line"))).alias("_m_line"), F.size(F.array_remove(F.split("_m_line", BLANK_RE + "+"), "")).alias("_m_n"))
-    per_host = keyed.groupBy("_m_host", "_m_hash").agg(F.lit(1).alias("_m_one")).groupBy("_m_host").agg(F.count("*").alias("_m_docs"))
-    counts = spread.groupBy("_m_host", "_m_line", "_m_hash").agg(F.lit(1).alias("_m_one")).groupBy("_m_host", "_m_line").agg(F.count("*").alias("_m_in")).where(F.col("_m_in") > min_docs)
-    frequent = counts.join(per_host, "_m_host").where(F.col("_m_in") > F.col("_m_docs") * max_share).select("_m_host", "_m_line")
+    # rows without a key are told apart by their texts
+    spread_docs = spread.groupBy("_m_host", "_m_line", "_m_key", F.when(F.col("_m_key") == "\x00", F.col("_m_hash")).alias("_m_text_of")).agg(F.lit(1).alias("_m_one"))
+    frequent = spread_docs.groupBy("_m_host", "_m_line").agg(F.count("*").alias("_m_in")).where(F.col("_m_in") > max_docs).select("_m_host", "_m_line")
     # equal keys hold equal texts of one host, so one of several equal rows stands for all
     per_doc = spread.groupBy("_m_key", "_m_host", "_m_hash", "_m_line").agg(F.max("_m_n").alias("_m_n"), F.count("*").alias("_m_times"))
     copies = keyed.groupBy("_m_key", "_m_host", "_m_hash").agg(F.count("*").alias("_m_rows"))

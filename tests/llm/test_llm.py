@@ -74,6 +74,16 @@ def test_line_quality(spark, docs, local):
     assert line_frequency.line_quality(df.where("false")).count() == 0
 
 
+def test_lines_of_a_large_host(spark):
+    rows = [(i, (f"Read more of this on our site\n" if i % 20 == 0 else "") + prose(1000 + i, 25), "h") for i in range(600)]
+    page = f"Copied line of words\n{prose(2000, 30)}"
+    rows += [(1000 + i, page, "c") for i in range(30)] + [(2000, page, "r")] * 30 + [(3000 + i, f"in a few places only\n{prose(3000 + i, 25)}", "h") for i in range(20)]
+    got = line_frequency.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for r in got:
+        assert r.n_removed_lines == (2 if 1000 <= r.doc_id < 2000 else int(r.doc_id < 600 and r.doc_id % 20 == 0))
+    assert len(got) == len(rows)
+
+
 def test_toxicity(spark):
     machine = toxicity_grammar.grammar()
     model = toxicity_grammar.ToxicityModel({"fool": 4.0, "dolt*": 4.0}, machine=machine)
