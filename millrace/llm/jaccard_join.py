@@ -7,16 +7,14 @@ threshold; so two such sets agree on at least one part, whole. A tile is the set
 n-grams, a passage that many documents share makes no large tiles, for each of its parts
 also holds the rest of the document.
 
-In a tile every set is first held against the tile's least one. Parity bitmaps bound the
-overlap from above (each differing bit is an element in one set only); what passes is
-intersected exactly as sorted arrays. Sets that are in one component then need no further
-pairs; in tiles that still hold two, the sets of different components are compared by size
-and bitmap in blocks of bounded size, and what passes is intersected exactly. So a group of
-copies never forms all its pairs, and no link that could join two components is lost.
-
-Links are counted after that: both ends of a link are in one component, so the sets of each
-component meet in blocks of bounded size, where exact overlaps are counted as products of
-membership matrices. Only counts leave a block, each pair of sets being in exactly one.
+Parity bitmaps bound the overlap of a tile's sets from above (each differing bit is an
+element in one set only). Sets that sizes and bitmaps let pass fall into one candidate class;
+within a task, what earlier tiles have put into one class isn't compared again. Only each
+set's class leaves a tile, never its pairs. The candidate classes, joined over all tiles, hold
+both ends of every link. Inside a class, sets meet in blocks of bounded size, where exact
+overlaps are counted as products of membership matrices: a block gives each set's number of
+links and its component in the block, so that all links are found and counted, each pair of
+sets being in exactly one block, and rows leave in proportion to the sets that came in.
 
 Node ids are 64-bit hashes of the sorted sets.
 
@@ -29,15 +27,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from .common import WordHash, lower_words_of, mix, staged, window_hashes
+from .common import WordHash, lower_words_of, mix, staged, texts_of, window_hashes
 from .graphs import components
 from .members import bitmap, holds
 
@@ -120,7 +117,7 @@ def _shingled(df: DataFrame, key: str, text: str, k: int, num: int, den: int) ->
         words, seen = WordHash(), set()
         for b in batches:
             n, ids, sigs, keys = [], [], [], []
-            for t in b.column(1).to_pylist():
+            for t in texts_of(b.column(1)):
                 s = shingle_set(t, k, words)
                 i = set_id(s)
                 n.append(len(s))
@@ -144,7 +141,7 @@ def _arrays(df: DataFrame, text: str, k: int, wanted: np.ndarray) -> DataFrame:
         words, seen = WordHash(), set()
         for b in batches:
             ids, arrays = [], []
-            for t in b.column(0).to_pylist():
+            for t in texts_of(b.column(0)):
                 s = shingle_set(t, k, words)
                 i = set_id(s)
                 if len(s) and i not in seen and holds(shared.value, np.array([i]))[0]:
@@ -157,32 +154,121 @@ def _arrays(df: DataFrame, text: str, k: int, wanted: np.ndarray) -> DataFrame:
     return df.select(F.col(text).alias("text")).mapInArrow(work, "sid bigint, arr binary")
 
 
-@F.pandas_udf(BooleanType())
-def _may_pass(na: pd.Series, nb: pd.Series, sa: pd.Series, sb: pd.Series, num: pd.Series, den: pd.Series) -> pd.Series:
-    # overlap <= (na + nb - differing bits) / 2, and the threshold asks den * overlap >= num * (na + nb - overlap)
-    bound = np.array([(x + y - apart_at_least(a, b)) // 2 for x, y, a, b in zip(na, nb, sa, sb, strict=True)], np.int64)
-    union = na.to_numpy(np.int64) + nb.to_numpy(np.int64) - bound
-    return pd.Series(den.to_numpy(np.int64) * bound >= num.to_numpy(np.int64) * union)
-
-
-@F.pandas_udf(BooleanType())
-def _passes(a: pd.Series, b: pd.Series, num: pd.Series, den: pd.Series) -> pd.Series:
-    out = np.zeros(len(a), bool)
-    for i, (x, y, p, q) in enumerate(zip(a, b, num, den, strict=True)):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        at = np.searchsorted(y, x)
-        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-        out[i] = q * both >= p * (len(x) + len(y) - both)
-    return pd.Series(out)
-
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups of sorted rows, and the groups' borders; the first ``keys`` columns tell groups apart."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        table = pa.Table.from_batches([*held, b]).combine_chunks()
+        key = np.column_stack([table[c].to_numpy() for c in range(keys)])
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        if last:
+            yield table.slice(0, last), [0, *cuts.tolist()]
+        held = table.slice(last).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, [0, len(table)]
+
+
+class Classes:
+    """Union-find over ids; the least id stands for a class."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        up, root = self.up, x
+        while (y := up.get(root, root)) != root:
+            root = y
+        while x != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.of(x), self.of(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+
+
+def candidate_links(n: np.ndarray, bits: np.ndarray, group: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links between places that join all members which sizes and bitmaps let pass; members of one ``group`` are joined already."""
+    todo = np.ones(len(n), bool)
+    for r in range(len(n)):
+        if not todo[r]:
+            continue
+        front = np.flatnonzero(todo & (group == group[r])).tolist()
+        todo[front] = False
+        while front:
+            q = front.pop()
+            at = np.flatnonzero(todo)
+            at = at[np.minimum(n[at], n[q]) * 100 >= percent * np.maximum(n[at], n[q])]
+            # overlap <= (n + n - differing bits) / 2, and the threshold asks 100 * overlap >= percent * (n + n - overlap)
+            bound = (n[q] + n[at] - np.bitwise_count(bits[at] ^ bits[q]).sum(axis=1, dtype=np.int64)) // 2
+            at = at[100 * bound >= percent * (n[q] + n[at] - bound)]
+            if len(at):
+                yield from ((q, int(x)) for x in at)
+                new = np.flatnonzero(todo & np.isin(group, group[at]))
+                todo[new] = False
+                front += new.tolist()
+
+
+def _candidates(members: DataFrame, percent: int, most: int = 1_000_000) -> DataFrame:
+    """Edges (a, b) that connect all sets of each candidate class: at most one for each set that a task meets.
+
+    ``members`` are (tile, blocks, sid, n, sig). A tile's members are dealt to ``blocks`` by hash, and
+    each two blocks meet in one cell.
+    """
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
+    cell = members.withColumn("own", own).withColumn("other", F.explode(other))
+    cell = cell.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "sig")
+    cell = cell.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "sid")
 
-def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block: int = 512, with_links: bool = True) -> DataFrame:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes()
+
+        def out() -> pa.RecordBatch:
+            nodes = list(classes.up)
+            got = pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([classes.of(x) for x in nodes], pa.int64())], ["a", "b"])
+            classes.up.clear()
+            return got
+
+        for table, cuts in _grouped(batches, 3):
+            sids, n, sigs = table["sid"].to_pylist(), table["n"].to_numpy(), table["sig"].combine_chunks()
+            for s, e in pairwise(cuts):
+                roots = [classes.of(x) for x in sids[s:e]]
+                if len(set(roots)) == 1:
+                    continue
+                if e - s == 2:  # most tiles
+                    both = (n[s] + n[s + 1] - apart_at_least(sigs[s].as_py(), sigs[s + 1].as_py())) // 2
+                    if 100 * both >= percent * (n[s] + n[s + 1] - both):
+                        classes.join(sids[s], sids[s + 1])
+                    continue
+                raw = [np.frombuffer(sigs[x].as_py(), np.uint8) for x in range(s, e)]
+                least = min(map(len, raw))
+                bits = np.empty((e - s, least), np.uint8)
+                for r, y in enumerate(raw):
+                    while len(y) > least:
+                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                    bits[r] = y
+                for x, y in candidate_links(n[s:e], bits.view(np.uint64), np.array(roots, np.int64), percent):
+                    classes.join(sids[s + x], sids[s + y])
+            if len(classes.up) > most:
+                yield out()
+        yield out()
+
+    return cell.mapInArrow(work, "a bigint, b bigint").where("a <> b")
+
+
+def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85, block: int = 2048, with_links: bool = True) -> DataFrame:
     """Return (key, n_shingles, component_id, n_links): n_links counts the other rows that the row is linked with, equal sets included."""
-    num, den = F.lit(percent), F.lit(100)
     docs = staged(_shingled(df, key, text, k, percent, 100), "sets")
     meta = docs.where(F.col("sig").isNotNull()).groupBy("sid").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     spread = docs.where(F.size("keys") > 0).select(F.explode("keys").alias("tile"), "sid")
-    tiles = staged(spread.groupBy("tile").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead < last"), "tiles")
+    tiles = spread.groupBy("tile").agg(F.min("sid").alias("least"), F.max("sid").alias("last"), F.count("*").alias("members")).where("least < last")
+    tiles = staged(tiles.select("tile", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "tiles")
     wanted = df.sparkSession.sparkContext.broadcast(bitmap(tiles, "tile"))
 
     def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,94 +280,15 @@ def jaccard_components(df: DataFrame, *, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), pa.array(sid[hit])], ["tile", "sid"])
 
     held = docs.where(F.size("keys") > 0).select("sid", "keys").mapInArrow(shared_only, "tile bigint, sid bigint")
-    inside = staged(held.join(tiles.select("tile", "lead"), "tile").distinct(), "members")
-    todo = staged(inside.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
-    links, arrays = _verified(df, todo, meta, text, k, num, den)
-    links = staged(links, "links")
-    comps = staged(components(links), "components")
-    # the leads have met all of their tiles; what is left are tiles that still hold two components
-    rest = inside.where("sid > lead").select("tile", "sid").join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left")
-    rest = staged(rest.select("tile", "sid", F.coalesce("comp", "sid").alias("comp")), "rest")
-    open_tiles = rest.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    open_tiles = staged(open_tiles.select("tile", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "tiles")
-    if not open_tiles.isEmpty():
-        more = _between(rest.join(open_tiles, "tile"), meta, percent).join(todo, ["a", "b"], "left_anti")
-        found, more_arrays = _verified(df, staged(more, "pairs"), meta, text, k, num, den)
-        links = links.unionByName(staged(found, "links"))
-        arrays = arrays.unionByName(more_arrays.join(arrays.select("sid"), "sid", "left_anti"))
-        comps = staged(components(links), "components")
-    out = _labelled(docs, comps, key, _degrees(docs, comps, arrays, percent) if with_links else None)
+    inside = held.join(tiles, "tile").distinct()
+    edges = staged(_candidates(inside.join(meta, "sid"), percent), "candidates")
+    classes = staged(components(edges), "candidate-classes")
+    found = staged(_linked_in_classes(docs, classes, _arrays(df, text, k, bitmap(classes, "node")), percent), "links")
+    comps = staged(components(found.where("sid <> root").select(F.col("sid").alias("a"), F.col("root").alias("b"))), "components")
+    out = _labelled(docs, comps, key, found.groupBy("sid").agg(F.sum("n_links").alias("n_links")) if with_links else None)
     return out if with_links else out.drop("n_links")
 
 
-def _between(members: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets of different components in one tile that sizes and bitmaps let pass.
-
-    A tile's members are dealt to blocks of a bounded size by hash, and each two blocks meet in
-    one group, so that the largest group is two blocks whatever the tile's size. Pairs are
-    compared as packed bitmaps inside the group; only those that pass leave it.
-    """
-    cell = members.join(meta, "sid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    cell = cell.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = cell.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "comp", "n", "sig")
-    cell = cell.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compare(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            n, comp, own, sid = (g[c].to_numpy() for c in ("n", "comp", "own", "sid"))
-            least = min(len(x) for x in g["sig"])
-            bits = np.empty((len(g), least), np.uint8)
-            for r, x in enumerate(g["sig"]):
-                y = np.frombuffer(x, np.uint8)
-                while len(y) > least:
-                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                bits[r] = y
-            left, right = [], []
-            same = g["i"].iloc[0] == g["j"].iloc[0]
-            for r in range(len(g) - 1):
-                ok = (comp[r + 1 :] != comp[r]) & (np.minimum(n[r], n[r + 1 :]) * 100 >= percent * np.maximum(n[r], n[r + 1 :]))
-                if not same:
-                    ok &= own[r + 1 :] != own[r]
-                at = np.flatnonzero(ok) + r + 1
-                if len(at):
-                    apart = np.bitwise_count(bits[at] ^ bits[r]).sum(axis=1, dtype=np.int64)
-                    bound = (n[r] + n[at] - apart) // 2
-                    at = at[100 * bound >= percent * (n[r] + n[at] - bound)]
-                    left += [sid[r]] * len(at)
-                    right += sid[at].tolist()
-            x, y = np.array(left, np.int64), np.array(right, np.int64)
-            return np.minimum(x, y), np.maximum(x, y)
-
-        held: list[pd.DataFrame] = []
-        for b in batches:
-            pdf = b.to_pandas()
-            if held:
-                pdf = pd.concat([*held, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            keys = pdf[["tile", "i", "j"]].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(pdf)]])
-            out = [compare(pdf.iloc[s:e]) for s, e in zip(cuts[:-2], cuts[1:-1], strict=True)]
-            held = [pdf.iloc[cuts[-2] :]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out, strict=True)], ["a", "b"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in compare(held[0])], ["a", "b"])
-
-    return cell.mapInArrow(work, "a bigint, b bigint").distinct()
-
-
-def _verified(df: DataFrame, pairs: DataFrame, meta: DataFrame, text: str, k: int, num, den) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) that pass, and (sid, arr) of all sets whose pairs had to be intersected."""
-    side = lambda x: meta.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= num * F.greatest("na", "nb"))
-    near = staged(near.where(_may_pass("na", "nb", "sa", "sb", num, den)).select("a", "b"), "near")
-    arrays = _arrays(df, text, k, bitmap(near.select(F.explode(F.array("a", "b")).alias("x")), "x")).groupBy("sid").agg(F.first("arr").alias("arr"))
-    arrays = staged(arrays, "arrays")
-    both = near.join(arrays.select(F.col("sid").alias("a"), F.col("arr").alias("xa")), "a").join(arrays.select(F.col("sid").alias("b"), F.col("arr").alias("xb")), "b")
-    return both.where(_passes("xa", "xb", num, den)).select("a", "b"), arrays
-
-
 def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int, step: int = 2048) -> np.ndarray:
     """Matrix of which sets of ``a`` and ``b`` pass; columns of the membership matrices are taken ``step`` at a time."""
     sizes = np.array([len(x) for x in [*a, *b]], np.int64)
@@ -302,51 +309,54 @@ def linked(a: list[np.ndarray], b: list[np.ndarray], percent: int, step: int = 2
     return 100 * both >= percent * (sizes[: len(a), None] + sizes[None, len(a) :] - both)
 
 
-def _degrees(docs: DataFrame, comps: DataFrame, arrays: DataFrame, percent: int, block: int = 1024, elements: int = 500_000) -> DataFrame:
-    """(sid, n_links): rows with another set that a set passes with.
+def first_of_component(ok: np.ndarray) -> np.ndarray:
+    """For each place the first place of its component in a symmetric matrix of links."""
+    first = np.full(len(ok), -1)
+    for r in range(len(ok)):
+        if first[r] >= 0:
+            continue
+        first[r], front = r, [r]
+        while front:
+            new = np.flatnonzero(ok[front.pop()] & (first < 0))
+            first[new] = r
+            front += new.tolist()
+    return first
+
+
+def _linked_in_classes(docs: DataFrame, classes: DataFrame, arrays: DataFrame, percent: int, block: int = 1024, elements: int = 500_000) -> DataFrame:
+    """(sid, n_links, root): for each set and block, the rows with another set that it passes with, and its component's first set.
 
-    A component's sets are dealt to blocks bounded in sets and elements, and each two blocks
-    meet in one group.
+    A class's sets are dealt to blocks bounded in sets and elements, and each two blocks meet
+    in one cell; the pairs inside a block are compared where it meets itself.
     """
+    arrays = staged(arrays.groupBy("sid").agg(F.first("arr").alias("arr")), "arrays")
     copies = docs.where("n > 0").groupBy("sid").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
-    of = staged(comps.select(F.col("node").alias("sid"), "comp").join(copies, "sid"), "linked")
+    of = staged(classes.select(F.col("node").alias("sid"), "comp").join(copies, "sid"), "classes")
     blocks = of.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / elements)).cast("int").alias("blocks"))
     cell = of.select("sid", "comp", "copies").join(blocks, "comp").join(arrays, "sid").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     cell = cell.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = cell.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "copies", "arr")
-    cell = cell.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    cell = cell.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "own")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def count(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        def compare(g: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             sid, own, copies = (g[c].to_numpy() for c in ("sid", "own", "copies"))
-            sets = [np.frombuffer(x, np.uint64) for x in g["arr"]]
-            i, j = g["i"].iloc[0], g["j"].iloc[0]
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            if not len(left) or not len(right):
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            ok = linked([sets[r] for r in left], [sets[r] for r in right], percent)
-            if i == j:
+            sets = [np.frombuffer(x, np.uint64) for x in g["arr"].to_pylist()]
+            m = int((own == g["i"][0].as_py()).sum())
+            if m == len(sid):
+                ok = linked(sets, sets, percent)
                 np.fill_diagonal(ok, False)
-                return sid, ok @ copies
-            return np.concatenate([sid[left], sid[right]]), np.concatenate([ok @ copies[right], ok.T @ copies[left]])
+            else:
+                ok = np.zeros((len(sid), len(sid)), bool)
+                ok[:m, m:] = linked(sets[:m], sets[m:], percent)
+                ok[m:, :m] = ok[:m, m:].T
+            return sid, ok @ copies, sid[first_of_component(ok)]
 
-        held: list[pd.DataFrame] = []
-        for b in batches:
-            pdf = b.to_pandas()
-            if held:
-                pdf = pd.concat([*held, pdf], ignore_index=True)
-            if not len(pdf):
-                continue
-            keys = pdf[["comp", "i", "j"]].to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(pdf)]])
-            out = [count(pdf.iloc[s:e]) for s, e in zip(cuts[:-2], cuts[1:-1], strict=True)]
-            held = [pdf.iloc[cuts[-2] :]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z).astype(np.int64)) for z in zip(*out, strict=True)], ["sid", "n_links"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int64)) for z in count(held[0])], ["sid", "n_links"])
-
-    return cell.mapInArrow(work, "sid bigint, n_links bigint").groupBy("sid").agg(F.sum("n_links").alias("n_links"))
+        for table, cuts in _grouped(batches, 3):
+            for s, e in pairwise(cuts):
+                yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int64)) for z in compare(table.slice(s, e - s))], ["sid", "n_links", "root"])
+
+    return cell.mapInArrow(work, "sid bigint, n_links bigint, root bigint").where("n_links > 0")
 
 
 def _labelled(docs: DataFrame, comps: DataFrame, key: str, degree: DataFrame | None) -> DataFrame:

@@ -153,8 +153,22 @@ def test_jaccard_links(spark):
 def test_jaccard_links_in_blocks(spark, monkeypatch):
     base = prose(800, 90).split()
     df = spark.createDataFrame([(i, " ".join([*base, f"end{i % 20}"])) for i in range(30)], "doc_id long, text string")
-    monkeypatch.setattr(jaccard_join, "_degrees", functools.partial(jaccard_join._degrees, block=4))
-    assert {r.n_links for r in jaccard_join.jaccard_components(df).collect()} == {29}
+    monkeypatch.setattr(jaccard_join, "_linked_in_classes", functools.partial(jaccard_join._linked_in_classes, block=4))
+    assert {r.n_links for r in jaccard_join.jaccard_components(df, block=3).collect()} == {29}
+    # one large group, in which many sets are linked with few others and some with none
+    r = np.random.default_rng(5)
+    texts = []
+    for i in range(80):
+        w = list(base)
+        for at in r.choice(90, int(r.integers(0, 9)), replace=False):
+            w[at] = f"own{r.integers(3) if i % 2 else i}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in map(str.split, texts)]
+    ok = np.array([[100 * len(x & y) >= 85 * len(x | y) for y in sets] for x in sets])
+    first = jaccard_join.first_of_component(ok)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=8).collect()
+    assert {(x.doc_id, x.component_id, x.n_links) for x in got} == {(i, int(first[i]), int(ok[i].sum()) - 1) for i in range(80)}
+    assert 3 < len(set(first.tolist())) < 75
 
 
 def test_pipeline_stages(spark):
