@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 BUCKETS = 1 << 17
 BLOCK = 1 << 20
 _LETTER: np.ndarray | None = None
@@ -139,7 +141,7 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), BUCKETS), np.int64)
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 for block in blocks_of(t):
                     total[index[k]] += np.bincount(trigrams(block)[0], minlength=BUCKETS)
         k, bucket = np.nonzero(total)
@@ -154,16 +156,20 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
 
 
 def identify(df: DataFrame, model: MixtureModel, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred``, ``score`` (its proportion), ``langs`` (the chosen set) and ``shares`` to the ``keep`` columns."""
+    """Add ``lang_pred``, ``score`` (its proportion), ``langs`` (the chosen set) and ``shares`` to the ``keep`` columns.
+
+    Only texts go to Python and only results come back; the other columns stay with Spark.
+    """
     given = [c for c in df.columns if c != text] if keep is None else keep
-    keep = [c for c in given if c not in {"lang_pred", "score", "langs", "shares"}]  # an input column of a result's name gives way
+    results = ["lang_pred", "score", "langs", "shares"]
+    keep = [c for c in given if c not in results]  # an input column of a result's name gives way
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred:string,score:double,langs:array<string>,shares:array<double>>")
+    def mixture(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for b in batches:
-            texts = b.column(len(keep)).to_pylist()
-            rows = [("und", 0.0, [], [])] * len(texts)
+            rows = [("und", 0.0, [], [])] * len(b)
             at, scores, size = [], [], 0
 
             def flush() -> None:
@@ -173,21 +179,20 @@ def identify(df: DataFrame, model: MixtureModel, *, text: str = "text", keep: li
                 at.clear()
                 scores.clear()
 
-            for i, t in enumerate(texts):
+            for i, t in enumerate(texts_of(b)):
                 if t and m.langs and len(s := m.word_scores(t)):
                     at.append(i)
                     scores.append(s)
                     size += len(s)
-                    if size > 200_000:
+                    if size > 100_000:
                         flush()
                         size = 0
             flush()
             pred, score, langs, shares = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], [*keep, "lang_pred", "score", "langs", "shares"])
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], results)
 
-    fields = [df.schema[c] for c in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string, score double, langs array<string>, shares array<double>"])
-    return df.select(*[F.col(c) for c in keep], F.col(text).alias("_m_text")).mapInArrow(work, schema)
+    # not deterministic for the planner only: else a filter on a result would run the function once more
+    return df.withColumn("_m_found", mixture.asNondeterministic()(F.col(text))).select(*keep, *[F.col(f"_m_found.{c}").alias(c) for c in results])
 
 
 def rejects(share: float = 0.5) -> Column:
