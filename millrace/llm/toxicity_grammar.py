@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import WordHash, lower_words_of, window_hashes
+from .common import WordHash, lower_words_of, texts_of, window_hashes
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
 
@@ -35,6 +35,7 @@ NEGATIONS = "not no never none nobody isn't aren't don't nicht kein keine keinen
 REPORTS = "said says say told tells called calls wrote writes claimed quoted sagte sagt sagen nannte schrieb behauptete dit disait disent appelé écrit affirmé dijo dice dicen llamó escribió".split()
 TARGETS = "you your you're yourself u he she they him her them du dich dir dein deine ihr euch sie tu te toi ton ta vous votre ils elles tú ti tu usted ustedes vosotros ellos ellas".split()
 THREATS = "kill hurt destroy beat stab shoot burn töten schlagen vernichten umbringen tuer frapper détruire brûler matar golpear destruir quemar".split()
+_TARGET_SET = frozenset(TARGETS)
 QUOTES = '"“”„«»'
 ENDS = ".!?;:"
 STRIP = ENDS + ",()[]{}'’…" + QUOTES
@@ -85,12 +86,26 @@ def grammar(negated: float = 0.25, reported: float = 0.5, aimed: float = 1.5, sc
     return neg.compose(said).compose(aim).compose(threat)
 
 
+def aimed_words(text: str) -> set[str]:
+    """Words that a clause of the text has after a target, marked with ``>``."""
+    out: set[str] = set()
+    for line in text.lower().split("\n"):
+        aimed = False
+        for token in line.split():
+            w = token.strip(STRIP)
+            if aimed and w:
+                out.add(">" + w)
+            aimed = (aimed or w in _TARGET_SET) and not any(e in token[-2:] for e in ENDS)
+    return out
+
+
 def features_of(text: str, lo: int, hi: int) -> Counter[str]:
-    """Distinct words of a text, and stems of ``lo`` to ``hi`` letters (marked with ``*``) with how many of those words have them."""
+    """Distinct words of a text, and stems of ``lo`` to ``hi`` letters (marked with ``*``) with how many of those words have them; then words aimed at a target."""
     words = {w.strip(STRIP) for w in set(text.lower().split())}
     out = Counter(words)
     for w in words:
         out.update(w[:k] + "*" for k in range(lo, min(hi, len(w) - 1) + 1))
+    out.update(aimed_words(text))
     del out[""]
     return out
 
@@ -102,6 +117,8 @@ class ToxicityModel:
     threat_weight: float = 4.0
     curve: tuple[float, ...] = (-30.0, 0.0, 0.0, 0.0)
     machine: Transducer = field(default_factory=grammar)
+    threats: dict[str, float] = field(default_factory=dict)
+    most: int = 400_000  # words remembered between texts
 
     def __post_init__(self) -> None:
         self.next, self.out = self.machine.tables()
@@ -111,14 +128,13 @@ class ToxicityModel:
 
     def _look_up(self, token: str) -> int:
         """Number of the token's symbol sequence; 0: only ``OTHER``."""
-        if len(self.known) > 400_000:
-            self.known.clear()
-            self.symbols = self.symbols[:1]
         word = token.strip(STRIP)
         seq: list[tuple[int, float]] = [(QUOTE, 0.0)] if token[0] in QUOTES else []
         w = max([self.weights.get(word, 0.0), *(self.weights.get(word[:k] + "*", 0.0) for k in range(self.stem[0], min(self.stem[1], len(word) - 1) + 1))])
         if w > 0:
             seq.append((INSULT, w))
+        elif t := self.threats.get(word):
+            seq.append((THREAT, t))
         elif (c := self.classes.get(word, OTHER)) != OTHER:
             seq.append((c, self.threat_weight if c == THREAT else 0.0))
         elif word:
@@ -136,21 +152,15 @@ class ToxicityModel:
 
     def clauses(self, text: str | None) -> list[float]:
         """Scores of the clauses in which an insult or a threat is matched."""
+        if len(self.known) > self.most:  # between texts only, so that a text's numbers hold to its end
+            self.known.clear()
+            del self.symbols[1:]
         tokens = text.lower().replace("\n", " ; ").split() if text else []
-        known, look = self.known, self._look_up
+        known, look, table = self.known, self._look_up, self.symbols
         codes = [known[t] if t in known else look(t) for t in tokens]
-        if len(self.symbols) > 1 and not any(codes):
+        if not any(s in (INSULT, THREAT) for c in set(codes) for s, _ in table[c]):
             return []
-        table = self.symbols
         found, state, clause = [], 0, 0.0
-        try:
-            hot = any(s in (INSULT, THREAT) for c in set(codes) for s, _ in table[c])
-        except IndexError:  # the memory was cleared meanwhile
-            self.known.clear()
-            codes = [self._fresh(t) for t in tokens]
-            table, hot = self.symbols, True
-        if not hot:
-            return []
         for c in codes:
             for s, w in table[c] or ((OTHER, 0.0),):
                 if w:
@@ -161,10 +171,6 @@ class ToxicityModel:
                     clause = 0.0
         return found + [clause] * bool(clause)
 
-    def _fresh(self, token: str) -> int:
-        bound = self.known
-        return bound[token] if token in bound else self._look_up(token)
-
     def document(self, text: str | None) -> np.ndarray:
         """1, greatest clause score, log of the clauses' sum, log of their number."""
         c = self.clauses(text)
@@ -216,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
         both, forms = (Counter(), Counter()), Counter()
         rows = [0, 0]
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t, y in zip(texts_of(b.column(0)), b.column(1).to_pylist(), strict=True):
                 found = features_of(t, lo, hi)
                 both[y].update(found.keys())
                 if y:
@@ -234,12 +240,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     got = {f: (max(t, w if c == 0 and w >= 3 * t else 0), c) for f, (t, c, w) in got.items()}
     odds = {f: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))) for f, (t, c) in got.items()}
     sure = {f: odds[f] - 1.64 * float(np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))) for f, (t, c) in got.items()}
-    model = ToxicityModel({f: w for f, w in odds.items() if w >= min_log_odds and sure[f] >= min_sure})
+    strong = {f: w for f, w in odds.items() if w >= min_log_odds and sure[f] >= min_sure}
+    # a word that is toxic only after a target is a threat, one that is toxic anywhere an insult
+    model = ToxicityModel({f: w for f, w in strong.items() if f[0] != ">"}, threats={f[1:]: w for f, w in strong.items() if f[0] == ">" and f[1:] not in strong})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([shared.value.document(t) for t in b.column(0).to_pylist()]).reshape(-1, 4)
+            x = np.array([shared.value.document(t) for t in texts_of(b.column(0))]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(4)), b.column(1)], ["a", "b", "c", "d", "y"])
 
     seen = sample.mapInArrow(measure, "a double, b double, c double, d double, y int").toArrow()
@@ -252,15 +260,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
 def score(df: DataFrame, model: ToxicityModel, *, text: str = "text", keep: list[str] | None = None, threshold: float = 0.3) -> DataFrame:
     """Add ``score`` (0 to 1), ``predicted`` and ``n_clauses`` (clauses matched) to the ``keep`` columns."""
     given = [c for c in df.columns if c != text] if keep is None else keep
-    keep = [c for c in given if c not in {"score", "predicted", "n_clauses"}]  # an input column of a result's name gives way
+    results = ["score", "predicted", "n_clauses"]
+    keep = [c for c in given if c not in results]  # an input column of a result's name gives way
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<score:double,predicted:int,n_clauses:bigint>")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for b in batches:
-            x = np.array([m.document(t) for t in b.column(len(keep)).to_pylist()]).reshape(-1, 4)
+            x = np.array([m.document(t) for t in texts_of(b)]).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(m.curve), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(np.rint(np.expm1(x[:, 3])).astype(np.int64))], [*keep, "score", "predicted", "n_clauses"])
+            yield pa.StructArray.from_arrays([pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(np.rint(np.expm1(x[:, 3])).astype(np.int64))], results)
 
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + ["score double, predicted int, n_clauses bigint"])
-    return df.select(*[F.col(c) for c in keep], F.col(text).alias("_m_text")).mapInArrow(work, schema)
+    # not deterministic for the planner only: else a filter on a result would run the function once more
+    return df.withColumn("_m_found", scored.asNondeterministic()(F.col(text))).select(*keep, *[F.col(f"_m_found.{c}").alias(c) for c in results])
