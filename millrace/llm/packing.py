@@ -4,15 +4,16 @@ Documents are tokenised whole and cut into full sequences and one remainder. Rem
 are the orders of a cutting-stock problem over classes of lengths: a linear program over
 patterns (how many pieces of each class fill one sequence) is solved by a revised simplex
 whose columns are priced by an unbounded-knapsack dynamic program. The patterns' numbers
-are rounded down, what is left over is placed first-fit by decreasing length, and pieces,
-ranked inside their class, are dealt to the patterns' slots.
+are rounded down, the patterns of greatest remainder are rounded up and trimmed to what is
+left, and the program is solved again for the rest until nothing is left. Pieces, ranked
+inside their class, are dealt to the patterns' slots.
 
 Only the length histogram (one count for each class) reaches the driver, and only the
 patterns (a few hundred rows, bounded by the number of classes) are sent back.
 
 Defined cases: a null text is empty and has one token, the end token; repeated rows are
 packed as often as they come; an empty table gives an empty result; a document longer than
-a sequence is cut at every full sequence.
+a sequence is cut at every full sequence; the strings of the file's added tokens are these tokens.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, texts_of
 
 
 @functools.cache
@@ -42,21 +43,20 @@ def byte_bpe(path: str, pattern: str):
     to_byte = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(keep))}
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     ranks = {bytes(to_byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(path: str, pattern: str, text: str) -> np.ndarray:
     try:
-        return byte_bpe(path, pattern).encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        return byte_bpe(path, pattern).encode_to_numpy(text, allowed_special="all").astype("<u4")
     except BaseException as e:  # the matcher's stack ends on extreme runs; the reference implementation has none
         if isinstance(e, (KeyboardInterrupt, SystemExit)):
             raise
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         return np.array(t.encode(text, add_special_tokens=False).ids, "<u4")
 
 
@@ -67,7 +67,7 @@ def pieces(df: DataFrame, path: str, pattern: str, *, capacity: int = 2048, end_
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             out: list[tuple] = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 ids = np.append(token_ids(path, pattern, t) if t else np.zeros(0, "<u4"), np.array(end_id, "<u4")).astype("<u4")
                 out += [(k, s, min(capacity, len(ids) - s), zlib.crc32(ids[s : s + capacity].tobytes()), len(ids), row) for s in range(0, len(ids), capacity)]
                 row += 1
@@ -104,23 +104,26 @@ def best_pattern(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float
     return float(best[room]), column
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 1000, gap: float = 0.002) -> list[tuple[int, np.ndarray]]:
-    """Patterns with whole numbers of sequences that cover exactly the demand.
+def relaxed(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int = 20_000, gap: float = 0.0001, draw: float = 0.9) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The linear program's patterns and how many sequences of each; ``sizes`` rise.
 
-    Revised simplex from the diagonal basis (``room // size`` pieces of one class); the
-    dual prices feed the knapsack until no pattern is worth more than ``1 + gap`` sequences,
-    which proves the program's value to be within ``gap`` of its optimum.
+    Revised simplex from the diagonal basis (``room // size`` pieces of one class). Besides
+    patterns it has free columns that put a smaller piece into a larger one's slot, which keep
+    the dual prices in the order of the sizes. The knapsack's prices are drawn towards a centre:
+    at first ``size / room``, under which no pattern is worth more than one sequence, later any
+    that prove a higher bound. The end is reached at a value within ``gap`` of the bound, or
+    when no pattern is worth more than its sequence.
     """
     m = len(sizes)
-    if not m:
-        return []
-    cols = [np.eye(m, dtype=np.int64)[i] * (room // sizes[i]) for i in range(m)]
+    cols: list[np.ndarray] = [np.eye(m, dtype=np.int64)[i] * (room // sizes[i]) for i in range(m)]
+    cost = np.ones(m)
     inverse = np.diag(1 / np.array([c[i] for i, c in enumerate(cols)], float))
     x = inverse.sum(axis=1) * demand
-    for _ in range(rounds):
-        worth, new = best_pattern(inverse.sum(axis=0), sizes, room)
-        if worth <= 1 + gap:  # the program's optimum is at least sum(x) / worth
-            break
+    centre, now = sizes / room, draw
+    bound = float(centre @ demand)
+
+    def enter(new: np.ndarray, price: float) -> None:
+        nonlocal x
         d = np.einsum("ij,j->i", inverse, new.astype(float))  # not by BLAS, whose threads wait for the JVM's
         up = d > 1e-9
         ratio = np.where(up, x / np.where(up, d, 1), np.inf)
@@ -128,25 +131,84 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, rounds:
         x = x - ratio[i] * d
         x[i] = ratio[i]
         x = np.maximum(x, 0)
-        cols[i] = new
+        cols[i], cost[i] = new, price
         pivot = inverse[i] / d[i]
-        inverse -= np.outer(d, pivot)
+        np.subtract(inverse, np.outer(d, pivot), out=inverse)
         inverse[i] = pivot
-    whole = np.floor(x + 1e-9).astype(np.int64)
+
+    for _ in range(rounds):
+        if cost @ x <= bound * (1 + gap):
+            break
+        true = np.einsum("i,ij->j", cost, inverse)
+        fall = true - np.minimum.accumulate(true[::-1])[::-1]
+        if fall.max() > 1e-6:  # a larger piece is priced below a smaller one
+            small = int(fall.argmax())
+            new = np.zeros(m, np.int64)
+            new[small], new[small + int(true[small:].argmin())] = 1, -1
+            enter(new, 0.0)
+            continue
+        price = np.maximum(now * centre + (1 - now) * true, 0)
+        worth, new = best_pattern(price, sizes, room)
+        if (proved := float(price @ demand) / max(worth, 1e-9)) > bound:
+            bound, centre = proved, price / worth
+        if true @ new > 1 + 1e-7:
+            now = draw
+            enter(new, 1.0)
+        elif now:
+            now = now / 2 if now > 1e-3 else 0.0
+        else:
+            break
+    use = cost > 0
+    return x[use], [c for c, u in zip(cols, use, strict=True) if u]
+
+
+def filled(sizes: np.ndarray, pattern: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
+    """The pattern trimmed to what is left, its spare room filled with the largest pieces that fit."""
+    c = np.minimum(pattern, left)
+    space = room - int(c @ sizes)
+    for j in range(len(sizes) - 1, -1, -1):
+        if space >= sizes[j] and left[j] > c[j]:
+            more = min(int(left[j] - c[j]), space // int(sizes[j]))
+            c[j] += more
+            space -= more * int(sizes[j])
+    return c
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, room: int, *, share: float = 0.25) -> list[tuple[int, np.ndarray]]:
+    """Patterns with whole numbers of sequences that hold exactly the demand; ``sizes`` rise.
+
+    Each round solves the program for what is left, takes every pattern's whole number of
+    sequences, and rounds up the ``share`` of the patterns whose remainders are largest. So the
+    rest shrinks by about that share each round, and only its last pieces miss the program's bound.
+    """
     left, plan = demand.astype(np.int64).copy(), []
-    for n, c in zip(whole, cols, strict=True):
-        used = c > 0
-        n = min(int(n), int((left[used] // c[used]).min()))
-        if n > 0:
-            plan.append((n, c.copy()))
-            left -= n * c
-    for n, c in sorted(zip(x - whole, cols, strict=True), key=lambda p: -p[0]):
-        if n >= 0.5 and (left >= c).all():
-            plan.append((1, c.copy()))
-            left -= c
-    plan += first_fit(sizes, left, room)  # what rounding leaves
-    plain = first_fit(sizes, demand, room)  # with few pieces of each class rounding can cost more than it saves
-    return min(plan, plain, key=lambda p: sum(n for n, _ in p))
+    while left.any():
+        live = np.flatnonzero(left)
+        size, rest, taken = sizes[live], left[live].copy(), 0
+
+        def take(n: int, pattern: np.ndarray) -> None:
+            """``n`` sequences of the pattern; where a class has run out, its room goes to others."""
+            nonlocal rest, taken
+            while n > 0 and (c := filled(size, pattern, rest, room)).any():
+                used = c > 0
+                times = min(n, int((rest[used] // c[used]).min()))
+                wide = np.zeros(len(sizes), np.int64)
+                wide[live] = c
+                plan.append((times, wide))
+                rest, n, taken = rest - times * c, n - times, taken + times
+
+        x, cols = relaxed(size, rest, room)
+        whole = np.floor(x + 1e-9).astype(np.int64)
+        for n, c in zip(whole, cols, strict=True):
+            take(int(n), c)
+        part = x - whole
+        order = np.argsort(-part, kind="stable")
+        for i in order[: int(share * (part > 1e-6).sum())]:
+            take(1, cols[i])
+        if not taken:
+            take(1, cols[order[0]])
+        left[live] = rest
+    return plan
 
 
 def first_fit(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[int, np.ndarray]]:
