@@ -99,6 +99,26 @@ def test_toxicity(spark):
     assert toxicity_grammar.score(df, none).where("predicted = 1").count() == 0
 
 
+def test_toxicity_memory():
+    """A score doesn't depend on what was read before, nor on how many words are remembered."""
+    texts = [f"{prose(i, 30)} you fool {i} word{i}. he said fool" for i in range(20)] + ["you fool you fool. are bad. ..."]
+    fresh = [toxicity_grammar.ToxicityModel({"fool": 4.0}).clauses(t) for t in texts]
+    for most in (0, 1, 50, 400_000):
+        model = toxicity_grammar.ToxicityModel({"fool": 4.0}, most=most)
+        assert [model.clauses(t) for t in texts] == fresh
+        assert [model.clauses(t) for t in reversed(texts)] == fresh[::-1]
+    assert fresh[-1] == [12.0]
+
+
+def test_learned_threats(spark):
+    """A word that is toxic only after a target is learned as a threat."""
+    rows = [(i, prose(i, 30) + (f" we will zork you{i}. now they zork them." if i % 4 == 0 else f" the zork is on {i}."), int(i % 4 == 0)) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity_grammar.fit(df, df.select("doc_id", "toxic"))
+    assert "zork" in model.threats and "zork" not in model.weights
+    assert model.clauses("they zork us") and not model.clauses("a zork is here")
+
+
 def test_jaccard(docs, local):
     for k, percent in ((4, 85), (5, 80)):
         sets = {}
@@ -268,6 +288,43 @@ def test_passages_far_apart(spark):
     assert sorted(len(c) for c in passage_chains.chains(x, y, k)) == [len(step)] * 2
 
 
+def test_passages_seen_in_parts(spark):
+    """Two halves that are too short alone stand apart in earlier documents; the whole repeats only later."""
+    one, two = prose(601, 40), prose(602, 40)
+    rows = [(10, f"{prose(603, 30)} {one} {prose(604, 30)}"), (11, f"{prose(605, 30)} {two}"), (12, f"{prose(606, 20)} {one} {two}"), (13, f"{one} {two} {prose(607, 25)}")]
+    spans = [r for r in passage_chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id == 13]
+    assert [(r.first_id, r.start_word, r.end_word) for r in spans] == [(12, 0, 80)]
+
+
+def chained_by_force(x, y, k, gap, max_gap):
+    """Best chain score that ends in each match, over all predecessors within ``max_gap``."""
+    score = np.full(len(x), float(k))
+    for j in np.lexsort((y, x)):
+        for i in np.lexsort((y, x)):
+            dx, dy = x[j] - x[i], y[j] - y[i]
+            if dx > 0 and dy > 0 and max(dx, dy) <= max_gap + k:
+                cover = min(k, dx, dy)
+                score[j] = max(score[j], score[i] + cover - gap * ((dx - cover) + (dy - cover)) / 2)
+    return score
+
+
+def test_chains_reach_the_best_score():
+    r = np.random.default_rng(11)
+    for _ in range(60):
+        n = int(r.integers(2, 40))
+        pairs = np.unique(r.integers(0, 160, (n, 2)), axis=0)
+        x, y = pairs[:, 0], pairs[:, 1]
+        best = chained_by_force(x, y, 6, 0.5, 60).max()
+        first = passage_chains.chains(x, y, 6)[0]
+        got = 6.0
+        for i, j in zip(first[:-1], first[1:], strict=True):
+            dx, dy = x[j] - x[i], y[j] - y[i]
+            assert dx > 0 and dy > 0 and max(dx, dy) <= 66
+            cover = min(6, dx, dy)
+            got += cover - 0.25 * ((dx - cover) + (dy - cover))
+        assert got == pytest.approx(best)
+
+
 def test_packing(docs, local):
     from tokenizers import Tokenizer
 
