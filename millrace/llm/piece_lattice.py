@@ -1,75 +1,208 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Text becomes words: blanks turn to the blank mark, and a word is a run of marks with what
-follows it (no piece crosses that border). Distinct words are exploded to substrings of bounded
-length and equi-joined to the piece table; the edges found are grouped by word and folded with
-Spark's higher-order ``aggregate``. For a unigram model the fold is Viterbi's: best score of a
-path to each place. The scores of a merge (BPE) model are merge priorities, whose best path is
-not the model's encoding; for it the fold takes the edges by priority and merges where an edge
-spans exactly two current symbols, over a bitmap of borders. Characters without a piece become
-byte pieces.
-
-Defined cases: a null or empty text has no words and no pieces; repeated rows encode alike,
-each with its own row; words of more than ``LONG`` characters are cut where no piece has the
-two characters next to each other (exact); what is longer still doesn't fit the bitmap and is
-encoded in Python, by the same merges or path.
+Text turns into units: blanks become the blank mark, and a text is cut wherever no piece can
+span the place (found from hashed bitmaps of the pieces and of their four-character runs, so
+that a cut is always exact). Distinct units are exploded to substrings of bounded length, those
+that can't be pieces left out by the same bitmaps, and equi-joined to the piece table; the edges
+found are grouped by unit and folded with Spark's higher-order ``aggregate``. For a unigram
+model the fold is Viterbi's: best score of a path to each place. The scores of a merge (BPE)
+model are merge priorities, whose best path is not the model's encoding; for it the fold takes
+the edges by priority and merges where an edge spans exactly two current symbols, over a bitmap
+of borders. Characters that no edge covers are their own pieces, or byte pieces.
+
+Documents are then spelt with the ``head`` most frequent units, which are broadcast (a bounded
+table); the places of rarer units are left open and filled after a shuffle join by unit.
+
+Defined cases: a null or empty text has no pieces; repeated rows encode alike, each with its
+own row; a unit of more than ``LONG`` characters doesn't fit the bitmap and is encoded whole in
+Python, by the same merges or path; very long texts are cut in blocks, which end at exact cuts.
+A text that holds the blank mark itself decodes to blanks in its place.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
-import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, staged
+from .common import staged, texts_of
 
 MARK = "▁"
-WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-LONG = 60
+LONG = 61
+BITS = 22
+BLOCK = 1 << 16
+_TURN = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+UNKNOWN = -100.0
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return ((h * _TURN) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _rolled(codes: np.ndarray) -> np.ndarray:
+    """Hash of each row of character numbers."""
+    h = codes[:, 0]
+    for n in range(1, codes.shape[1]):
+        h = h * _STEP + codes[:, n]
+    return h
+
+
+@dataclass(frozen=True)
+class PieceModel:
+    """Normal pieces (text, id, score), the id of byte piece 0 and the texts of all ids; ``kind`` is ``bpe`` or ``unigram``."""
+
+    rows: tuple[tuple[str, int, float], ...]
+    byte0: int
+    kind: str = "bpe"
+
+    @functools.cached_property
+    def longest(self) -> int:
+        return max((len(p) for p, _, _ in self.rows), default=1)
+
+    @functools.cached_property
+    def table(self) -> dict[str, tuple[int, float]]:
+        return {p: (i, s) for p, i, s in self.rows}
+
+    @functools.cached_property
+    def number(self) -> np.ndarray:
+        """Number of each character that pieces have; 0 for all others."""
+        chars = sorted({ord(c) for p, _, _ in self.rows for c in p})
+        out = np.zeros(0x110000, np.uint64)
+        out[chars] = np.arange(1, len(chars) + 1)
+        return out
+
+    def _hashes(self, text: str) -> np.ndarray:
+        return self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    @functools.cached_property
+    def bitmaps(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Hashed bitmaps of the pieces of each length, and of the runs of four characters inside longer ones."""
+        whole, runs = [np.zeros(1 << BITS, bool) for _ in range(self.longest + 1)], np.zeros(1 << BITS, bool)
+        for n in range(1, self.longest + 1):
+            if same := [p for p, _, _ in self.rows if len(p) == n]:
+                c = self._hashes("".join(same)).reshape(-1, n)
+                whole[n][_slots(_rolled(c))] = True
+                for s in range(n - 3):
+                    runs[_slots(_rolled(c[:, s : s + 4]))] = True
+        return whole, runs
+
+    def units(self, text: str | None) -> list[str]:
+        """Parts of a text that no piece spans the borders of."""
+        if not text:
+            return []
+        marked = (MARK + text).replace(" ", MARK)
+        codes, (whole, runs) = self._hashes(marked), self.bitmaps
+        two = whole[2] if self.longest > 1 else np.zeros(1 << BITS, bool)
+        three = whole[3] if self.longest > 2 else np.zeros(1 << BITS, bool)
+        out: list[str] = []
+        start, size = 0, BLOCK
+        while start < len(codes):
+            c = codes[start : start + size]
+            last, n = start + size >= len(codes), len(c)
+            cross = np.zeros(n + 1, bool)
+            h = c[:-1] * _STEP + c[1:]
+            hit = two[_slots(h)]
+            cross[1:n] |= hit
+            if n > 2:
+                h = h[:-1] * _STEP + c[2:]
+                hit = three[_slots(h)]
+                cross[1 : n - 1] |= hit
+                cross[2:n] |= hit
+            if n > 3:
+                h = h[:-1] * _STEP + c[3:]
+                hit = runs[_slots(h)]
+                cross[1 : n - 2] |= hit
+                cross[2 : n - 1] |= hit
+                cross[3:n] |= hit
+            cuts = np.flatnonzero(~cross)
+            if not last:  # what follows the block can span its last places
+                cuts = cuts[cuts < n - 4]
+                if len(cuts) < 2:
+                    size *= 2
+                    continue
+            out += [marked[a:b] for a, b in pairwise((cuts + start).tolist())]
+            start, size = start + int(cuts[-1]), BLOCK
+        return out
+
+    def spans(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(unit, start, length) of the substrings that can be pieces of two characters and more (of one, too, in a unigram model)."""
+        codes = self._hashes("".join(units))
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        owner = np.repeat(np.arange(len(units)), length)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
+        room = np.repeat(length, length) - place
+        at, size, h = [], [], codes
+        if self.kind == "unigram":
+            at.append(np.arange(len(codes)))
+            size.append(np.ones(len(codes), np.int64))
+        for n in range(2, self.longest + 1):
+            h = h[:-1] * _STEP + codes[n - 1 :]
+            if not len(h):
+                break
+            hit = np.flatnonzero((room[: len(h)] >= n) & self.bitmaps[0][n][_slots(h)])
+            at.append(hit)
+            size.append(np.full(len(hit), n))
+        at, size = np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(size or [np.zeros(0, np.int64)])
+        order = np.argsort(at, kind="stable")
+        at, size = at[order], size[order]
+        return owner[at], place[at], size
+
+    def single(self, char: str) -> list[int]:
+        got = self.table.get(char)
+        return [got[0]] if got else [self.byte0 + b for b in char.encode("utf-8", "surrogatepass")]
+
+    def whole_ids(self, unit: str) -> list[int]:
+        """Ids of a unit too long for the bitmap."""
+        parts = _merged(unit, self.table) if self.kind == "bpe" else _best_path(unit, self.table, self.longest)
+        return [i for p in parts for i in ([self.table[p][0]] if p in self.table else self.single(p))]
+
+    def spelt(self, unit: str, chosen: list[dict] | None, whole: list[int] | None) -> bytes:
+        """The unit's ids as little-endian 32-bit numbers, from its chosen edges."""
+        if whole is not None:
+            return np.array(whole, "<u4").tobytes()
+        if not chosen:
+            ids = [i for c in unit for i in self.single(c)]
+        else:
+            ids, at = [], 0
+            for ends, i in sorted(((e["ends"] & -e["ends"], e["ends"].bit_length() - 1), e["id"]) for e in chosen):
+                s, e = ends[0].bit_length() - 1, ends[1]
+                while at < s:
+                    ids += self.single(unit[at])
+                    at += 1
+                ids.append(i)
+                at = e
+            for c in unit[at:]:
+                ids += self.single(c)
+        return np.array(ids, "<u4").tobytes()
+
+    @functools.cached_property
+    def sounds(self) -> dict[int, bytes]:
+        """UTF-8 of each id, marks as blanks."""
+        out = {self.byte0 + b: bytes([b]) for b in range(256)}
+        return out | {i: p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, i, _ in self.rows}
+
+    def decode(self, ids: list[int]) -> bytes:
+        """UTF-8 of the text that the ids spell."""
+        return b"".join(map(self.sounds.__getitem__, ids))[1:]
 
 
 @functools.cache
-def vocabulary(path: str) -> tuple[list[tuple[str, int, float]], frozenset[str], int]:
-    """Normal pieces (text, id, score), the character pairs inside them, and the id of byte piece 0."""
+def load(path: str, kind: str = "bpe") -> PieceModel:
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     rows = [(m.id_to_piece(i), i, m.get_score(i)) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
-    pairs = frozenset(p[j : j + 2] for p, _, _ in rows for j in range(len(p) - 1))
-    return rows, pairs, m.piece_to_id("<0x00>")
-
-
-@functools.cache
-def pieces_by_id(path: str) -> list[str]:
-    import sentencepiece
-
-    m = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [m.id_to_piece(i) for i in range(m.get_piece_size())]
-
-
-def words_of(text: str | None, pairs: frozenset[str]) -> list[str]:
-    if not text:
-        return []
-    out = WORD.findall((MARK + text).replace(" ", MARK))
-    if any(len(w) > LONG for w in out):
-        out = [x for w in out for x in (_cut(w, pairs) if len(w) > LONG else (w,))]
-    return out
-
-
-def _cut(word: str, pairs: frozenset[str]) -> list[str]:
-    out, start = [], 0
-    for i in range(1, len(word)):
-        if word[i - 1 : i + 1] not in pairs:
-            out.append(word[start:i])
-            start = i
-    return [*out, word[start:]]
+    return PieceModel(tuple(rows), m.piece_to_id("<0x00>"), kind)
 
 
 def _merged(word: str, table: dict[str, tuple[int, float]]) -> list[str]:
@@ -96,11 +229,11 @@ def _merged(word: str, table: dict[str, tuple[int, float]]) -> list[str]:
     return [x for x in at if x]
 
 
-def _best_path(word: str, table: dict[str, tuple[int, float]], longest: int, unknown: float = -100.0) -> list[str]:
-    """Symbols of the path of greatest score; a character without a piece counts ``unknown``."""
+def _best_path(word: str, table: dict[str, tuple[int, float]], longest: int) -> list[str]:
+    """Symbols of the path of greatest score; a character without a piece counts ``UNKNOWN``."""
     best, back = [0.0], [0]
     for e in range(1, len(word) + 1):
-        ways = [(best[s] + (table[p][1] if (p := word[s:e]) in table else unknown), s) for s in range(max(0, e - longest), e) if s == e - 1 or word[s:e] in table]
+        ways = [(best[s] + (table[p][1] if (p := word[s:e]) in table else UNKNOWN), s) for s in range(max(0, e - longest), e) if s == e - 1 or word[s:e] in table]
         score, start = max(ways)
         best.append(score)
         back.append(start)
@@ -111,189 +244,210 @@ def _best_path(word: str, table: dict[str, tuple[int, float]], longest: int, unk
     return out[::-1]
 
 
-@functools.cache
-def _table(path: str) -> tuple[dict[str, tuple[int, float]], int]:
-    rows = vocabulary(path)[0]
-    return {p: (i, s) for p, i, s in rows}, max((len(p) for p, _, _ in rows), default=1)
-
-
-def long_ids(word: str, path: str, kind: str = "bpe") -> list[int]:
-    """Ids of a word too long for the lattice's bitmap."""
-    (table, longest), byte0 = _table(path), vocabulary(path)[2]
-    out: list[int] = []
-    for p in _merged(word, table) if kind == "bpe" else _best_path(word, table, longest):
-        out += [table[p][0]] if p in table else [byte0 + b for b in p.encode("utf-8")]
-    return out
-
-
-def count_units(df: DataFrame, text: str, path: str, kind: str = "bpe") -> DataFrame:
-    """(word, c, long): distinct words and how often they come, summed in the task first; ``long`` holds the ids of words over ``LONG``."""
+def count_units(df: DataFrame, text: str, model: PieceModel, most: int = 200_000) -> DataFrame:
+    """(unit, c): distinct units and how often they come, summed in the task first."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, c = vocabulary(path)[1], Counter()
+        m, c = shared.value, Counter()
 
         def out() -> pa.RecordBatch:
-            whole = [long_ids(w, path, kind) if len(w) > LONG else None for w in c]
-            got = pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64()), pa.array(whole, pa.list_(pa.int32()))], ["word", "c", "long"])
+            got = pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["unit", "c"])
             c.clear()
             return got
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update(words_of(t, pairs))
-                if len(c) > 300_000:
+            for t in texts_of(b.column(0)):
+                c.update(m.units(t))
+                if len(c) > most:
                     yield out()
         yield out()
 
-    return df.select(F.col(text).alias("_m_text")).mapInArrow(work, "word string, c bigint, long array<int>").groupBy("word", "long").agg(F.sum("c").alias("c"))
+    return df.select(F.col(text).alias("_m_text")).mapInArrow(work, "unit string, c bigint").groupBy("unit").agg(F.sum("c").alias("c"))
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame(vocabulary(path)[0], "piece string, id int, score float")
+def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
+    return spark.createDataFrame(list(model.rows), "piece string, id int, score float")
 
 
-def lattice(words: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """(word, c, long, edges): for each word its lattice, an array of (priority, start, length, id).
+def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
+    """(unit, c, whole, edges): for each unit its lattice, edges ordered by score, then start.
 
-    The piece table (as large as the vocabulary, which the model fixes) is broadcast. ``words``
-    comes hash-partitioned by word, so grouping its edges moves nothing.
+    The piece table (as large as the vocabulary, which the model fixes) is broadcast, so a unit's
+    rows stay next to each other and are grouped as they come; a row with the unit itself opens
+    each group. ``whole`` holds the ids of units too long for the bitmap.
     """
-    longest = max((len(p) for p, _, _ in vocabulary(path)[0]), default=1)
-    # a long word has its ids already: of its lattice only the first character's edge is made
-    upto = F.when(F.col("long").isNull(), F.length("word")).otherwise(F.lit(1))
-    starts = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), upto), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), upto - i + 1)), lambda n: F.struct(i.alias("s"), n.alias("n"))))))
-    spans = words.select("word", "c", "long", starts.alias("e")).withColumn("piece", F.substring("word", F.col("e.s"), F.col("e.n")))
-    edges = spans.join(F.broadcast(piece_table(spark, path)), "piece", "left").where(F.col("id").isNotNull() | (F.col("e.n") == 1))
-    edge = F.struct((-F.col("score")).alias("o"), (F.col("e.s") - 1).alias("s"), F.col("e.n").alias("n"), "id")
-    return edges.groupBy("word", "c", "long").agg(F.collect_list(edge).alias("edges"))
+    spark = units.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                part = b.slice(at, 2000)
+                words = part.column(0).to_pylist()
+                whole = [m.whole_ids(w) if len(w) > LONG else None for w in words]
+                owner, start, size = m.spans([w if len(w) <= LONG else "" for w in words])
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+                # the 0 that opens each unit's list is the row with the unit itself
+                packed = np.insert(start * 256 + size, cuts[:-1], 0)
+                lists = pa.ListArray.from_arrays(pa.array((cuts + np.arange(len(cuts))).astype(np.int32)), pa.array(packed.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(whole, pa.list_(pa.int32())), lists], ["unit", "c", "whole", "spans"])
+
+    rows = units.select("unit", "c").mapInArrow(explode, "unit string, c bigint, whole array<int>, spans array<int>")
+    rows = rows.select("*", F.explode("spans").alias("e")).select("unit", "c", "whole", "e", F.expr("substring(unit, shiftright(e, 8) + 1, e & 255)").alias("piece"))
+    joined = rows.join(F.broadcast(piece_table(spark, model)), "piece", "left").where("e = 0 or id is not null or (e & 255) = 1")
+    first = F.col("e") == 0
+    joined = joined.select(F.when(first, F.col("unit")).alias("unit"), F.when(first, F.col("c")).alias("c"), F.when(first, F.col("whole")).alias("whole"), "e", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(t: pa.Table) -> pa.RecordBatch:
+            e = t["e"].to_numpy().astype(np.int64)
+            opens = e == 0
+            owner = np.cumsum(opens) - 1
+            heads = t.filter(pa.array(opens)).combine_chunks()
+            keep = ~opens
+            s, n, i, score, owner = e[keep] >> 8, e[keep] & 255, t["id"].to_numpy()[keep], t["score"].to_numpy()[keep], owner[keep]
+            order = np.lexsort((s, -score, owner))
+            s, n, i, score, owner = s[order], n[order], i[order], score[order], owner[order]
+            low, high = np.int64(1) << s, np.int64(1) << (s + n)
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(heads)))]).astype(np.int32)
+            fields = {"ends": low | high, "inner": high - (low << 1), "id": i.astype(np.int32)}
+            if m.kind == "unigram":
+                fields |= {"s": s.astype(np.int32), "n": n.astype(np.int32), "score": score.astype(np.float64)}
+            edges = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields)))
+            return pa.RecordBatch.from_arrays([*(heads[x].combine_chunks() if isinstance(heads[x], pa.ChunkedArray) else heads[x] for x in ("unit", "c", "whole")), edges], ["unit", "c", "whole", "edges"])
+
+        m, held = shared.value, []
+        for b in batches:
+            if not len(b):
+                continue
+            t = pa.Table.from_batches([*held, b]).combine_chunks()
+            opens = np.flatnonzero(t["e"].to_numpy() == 0)
+            cut = int(opens[-1]) if len(opens) else 0
+            if cut:
+                yield lists(t.slice(0, cut).combine_chunks())
+            held = t.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield lists(pa.Table.from_batches(held).combine_chunks())
+
+    more = ", s:int, n:int, score:double" if model.kind == "unigram" else ""
+    return joined.mapInArrow(group, f"unit string, c bigint, whole array<int>, edges array<struct<ends:bigint, inner:bigint, id:int{more}>>")
 
 
 def merged_borders(edges: Column, length: Column) -> Column:
-    """Fold for merge models: bitmap of borders left after all merges, best priority first, then leftmost."""
+    """Fold for merge models: bitmap of borders left after all merges; ``edges`` come best priority first, then leftmost."""
     one = F.lit(1).cast("bigint")
-    shift = lambda x, n: F.call_function("shiftleft", x, n)
-    below = lambda n: shift(one, n) - one
-    every = below(length + 1)
 
     def step(mask: Column, e: Column) -> Column:
-        start, end = e["s"], e["s"] + e["n"]
-        inner = mask.bitwiseAND(below(end) - below(start + 1))
-        ends = shift(one, start).bitwiseOR(shift(one, end))
-        return F.when((mask.bitwiseAND(ends) == ends) & (F.bit_count(inner) == 1), mask - inner).otherwise(mask)
+        inner = mask.bitwiseAND(e["inner"])
+        return F.when((mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(inner) == 1), mask - inner).otherwise(mask)
 
-    return F.aggregate(F.array_sort(F.filter(edges, lambda e: e["n"] > 1)), every, step)
+    return F.aggregate(edges, F.call_function("shiftleft", one, length + 1) - one, step)
 
 
-def viterbi_borders(edges: Column, length: Column, unknown: float = -100.0) -> Column:
+def viterbi_borders(edges: Column, length: Column) -> Column:
     """Fold for unigram models: borders of the path of greatest score. State: best (score, borders) at each place."""
     one = F.lit(1).cast("bigint")
 
     def step(best: Column, i: Column) -> Column:
         into = F.filter(edges, lambda e: e["s"] + e["n"] == i)
-        ways = F.transform(into, lambda e: F.struct((F.get(best, e["s"])["score"] + F.coalesce(-e["o"].cast("double"), F.lit(unknown))).alias("score"), F.get(best, e["s"])["mask"].bitwiseOR(F.call_function("shiftleft", one, i)).alias("mask")))
+        ways = F.transform(into, lambda e: F.struct((F.get(best, e["s"])["score"] + e["score"]).alias("score"), F.get(best, e["s"])["mask"].bitwiseOR(F.call_function("shiftleft", one, i)).alias("mask")))
         return F.concat(best, F.array(F.array_max(ways)))
 
     start = F.array(F.struct(F.lit(0.0).alias("score"), one.alias("mask")))
     return F.element_at(F.aggregate(F.sequence(F.lit(1), length), start, step), -1)["mask"]
 
 
-def encode_words(words: DataFrame, spark: SparkSession, path: str, kind: str = "bpe") -> DataFrame:
-    """(word, c, ids): the pieces' ids of each distinct word."""
-    byte0 = vocabulary(path)[2]
-    fold = merged_borders if kind == "bpe" else viterbi_borders
-    table = lattice(words, spark, path).withColumn("n", F.length("word"))
-    mask = fold(F.col("edges"), F.col("n"))
-
-    def pieces(m: Column) -> Column:
-        cuts = F.filter(F.sequence(F.lit(0), F.col("n")), lambda i: F.call_function("shiftrightunsigned", m, i).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+def encode_units(units: DataFrame, model: PieceModel) -> DataFrame:
+    """(unit, c, whole, chosen): the edges of each unit's encoding, those that span no border left; see :meth:`PieceModel.spelt`."""
+    fold = merged_borders if model.kind == "bpe" else viterbi_borders
+    table = lattice(units, model).withColumn("_m_mask", F.when(F.col("whole").isNull(), fold(F.col("edges"), F.length("unit"))))
+    left = F.transform(F.filter("edges", lambda e: (F.col("_m_mask").bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"]) & (e["id"] >= 0)), lambda e: F.struct(e["ends"].alias("ends"), e["id"].alias("id")))
+    return table.select("unit", "c", "whole", left.alias("chosen"))
 
-        def ids(at: Column) -> Column:
-            def one(s: Column, j: Column) -> Column:
-                end = F.get(at, j + 1)
-                found = F.get(F.filter("edges", lambda e: (e["s"] == s) & (e["n"] == end - s)), 0)["id"]
-                raw = F.hex(F.encode(F.substring("word", s + 1, end - s), "UTF-8"))
-                as_bytes = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda b: F.conv(F.substring(raw, (b * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int") + byte0)
-                return F.when(found.isNotNull(), F.array(found)).otherwise(as_bytes)
 
-            return F.flatten(F.transform(F.slice(at, 1, F.size(at) - 1), one))
+def encode_documents(df: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str = "text", head: int = 1 << 18) -> DataFrame:
+    """(key, ids, n_pieces, id_sum, ids_crc32, decodes) of each whole text.
 
-        return let(cuts, ids)
-
-    return table.select("word", "c", F.when(F.col("long").isNotNull(), F.col("long")).otherwise(let(mask, pieces)).alias("ids"))
-
-
-def decode(ids: Column, pieces: Column, byte0: int = 3) -> Column:
-    """Text of an id array, given the array of all pieces by id: marks turn to blanks, runs of byte pieces to UTF-8."""
-    spelt = F.transform(ids, lambda i: F.when((i >= byte0) & (i < byte0 + 256), F.lpad(F.hex(i - byte0), 2, "0")).otherwise(F.hex(F.encode(F.regexp_replace(F.get(pieces, i), MARK, " "), "UTF-8"))))
-    return F.substring(F.decode(F.unhex(F.array_join(spelt, "")), "UTF-8"), 2, 1 << 30)
-
-
-def encode_documents(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", kind: str = "bpe") -> DataFrame:
-    """(key, n_words, ids): whole id arrays, by a shuffle join of (row, place, word) with the encoded words."""
-    rows = staged(df.select(F.col(key).alias("_m_key"), F.col(text).alias("_m_text"), F.monotonically_increasing_id().alias("_m_row")), "rows")
-    words = encode_words(count_units(rows, "_m_text", path, kind), df.sparkSession, path, kind)
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = vocabulary(path)[1]
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([words_of(t, pairs) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["_m_row", "words"])
-
-    spread = rows.select("_m_row", "_m_text").mapInArrow(split, "_m_row bigint, words array<string>").select("_m_row", F.posexplode("words").alias("at", "word"))
-    whole = spread.join(words.select("word", "ids"), "word").groupBy("_m_row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("all"))
-    none = F.array().cast("array<int>")
-    return rows.select("_m_row", F.col("_m_key").alias(key)).join(whole, "_m_row", "left").select(key, F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_words"), F.coalesce(F.flatten(F.transform("all", lambda x: x["ids"])), none).alias("ids"))
-
-
-def round_trips(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", kind: str = "bpe") -> DataFrame:
-    """(key, n_words, n_pieces, id_sum, ids, decodes): every text encoded, and whether its ids decode to it.
-
-    The decoded text is compared with the input's by length and 64-bit hash, which travel in its text's place.
-    A text that holds the blank mark itself does not decode to itself, for the model has no other sign for a blank.
+    ``ids_crc32`` is of the ids as little-endian 32-bit numbers; ``decodes`` tells whether the ids,
+    decoded again, give the text's UTF-8. Rows are told apart by a number of their own, so the
+    rows of ``df`` must come from a table that reads alike each time.
     """
-    pieces, byte0 = df.sparkSession.createDataFrame([(pieces_by_id(path),)], "_m_pieces array<string>"), vocabulary(path)[2]
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    units = staged(encode_units(count_units(df, text, model), model), "units")
+    top = units.orderBy(F.desc("c"), "unit").limit(head).toArrow()
+    known = spark.sparkContext.broadcast(dict(zip(top["unit"].to_pylist(), map(model.spelt, top["unit"].to_pylist(), top["chosen"].to_pylist(), top["whole"].to_pylist()), strict=True)))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.struct(F.col(key).alias("key"), F.length(body).alias("n"), F.xxhash64(body).alias("h")).alias("_m_id"), F.col(text).alias("_m_text"))
-    coded = encode_documents(rows, path, key="_m_id", text="_m_text", kind=kind).crossJoin(F.broadcast(pieces))
-    same = let(decode(F.col("ids"), F.col("_m_pieces"), byte0), lambda t: (F.length(t) == F.col("_m_id.n")) & (F.xxhash64(t) == F.col("_m_id.h")))
-    total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return coded.select(F.col("_m_id.key").alias(key), "n_words", F.size("ids").cast("long").alias("n_pieces"), total.alias("id_sum"), "ids", same.alias("decodes"))
-
+    rows = df.select(F.col(key).alias("_m_key"), F.octet_length(body).alias("_m_size"), F.crc32(body).alias("_m_crc"), F.monotonically_increasing_id().alias("_m_row"), F.col(text).alias("_m_text"))
 
-def document_totals(df: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", kind: str = "bpe", head: int = 1 << 18) -> DataFrame:
-    """(key, n_words, n_pieces, id_sum) of each whole text.
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, table = shared.value, known.value
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.slice(at, 256)
+                ids, holes, rare = [], [], []
+                for t in part.column(4).to_pylist():
+                    words = m.units(t)
+                    got = [table.get(w) for w in words]
+                    if None in got:
+                        open_, of, n = [], [], 0
+                        for w, x in zip(words, got, strict=True):
+                            if x is None:
+                                open_.append(n)
+                                of.append(w)
+                            else:
+                                n += len(x)
+                        holes.append(open_)
+                        rare.append(of)
+                        got = [x for x in got if x is not None]
+                    else:
+                        holes.append([])
+                        rare.append([])
+                    ids.append(b"".join(got))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(ids, pa.binary()), pa.array(holes, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string()))], ["_m_key", "_m_size", "_m_crc", "_m_row", "ids", "holes", "rare"])
 
-    Words beyond the ``head`` most frequent ones (the only ones broadcast) go through a
-    shuffle join; they are rarer than any head word, so no key of it is hot.
-    """
-    spark = df.sparkSession
-    encoded = encode_words(count_units(df, text, path, kind), spark, path, kind)
-    sums = staged(encoded.select("word", "c", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("s")), "encoded")
-    top = sums.orderBy(F.desc("c"), "word").limit(head).select("word", "n", "s").toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), zip(top["n"].to_pylist(), top["s"].to_pylist(), strict=True), strict=True)))
+    kind = df.schema[key].dataType.simpleString()
+    spread = rows.mapInArrow(spell, f"_m_key {kind}, _m_size int, _m_crc bigint, _m_row bigint, ids binary, holes array<int>, rare array<string>").repartition("_m_row")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, table, row = vocabulary(path)[1], known.value, TaskContext.get().partitionId() << 33
+    # takes all columns, so that both readers of ``spread`` share one exchange
+    def rare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, rare = [], []
-            for t in b.column(1).to_pylist():
-                c = Counter(words_of(t, pairs))
-                n = s = 0
-                rest = []
-                for w, k in c.items():
-                    if w in table:
-                        p, q = table[w]
-                        n += p * k
-                        s += q * k
-                    else:
-                        rest.append({"word": w, "k": k})
-                rows.append((row, sum(c.values()), n, s))
-                rare.append(rest)
-                row += 1
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x), pa.int64()) for x in cols), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())])))], ["_m_key", "_m_row", "n_words", "n", "s", "rare"])
-
-    kind_of = df.schema[key].dataType.simpleString()
-    rows = staged(df.select(F.col(key).alias("_m_key"), F.col(text).alias("_m_text")).mapInArrow(work, f"_m_key {kind_of}, _m_row bigint, n_words bigint, n bigint, s bigint, rare array<struct<word:string,k:bigint>>"), "totals")
-    rare = rows.select("_m_row", F.explode("rare").alias("r")).select("_m_row", "r.word", "r.k").join(sums.select("word", F.col("n").alias("p"), F.col("s").alias("q")), "word")
-    rare = rare.groupBy("_m_row").agg(F.sum(F.col("k") * F.col("p")).alias("p"), F.sum(F.col("k") * F.col("q")).alias("q"))
-    return rows.join(rare, "_m_row", "left").select(F.col("_m_key").alias(key), "n_words", (F.col("n") + F.coalesce("p", F.lit(0))).alias("n_pieces"), (F.col("s") + F.coalesce("q", F.lit(0))).alias("id_sum"))
+            row, unit = [], []
+            for r, us in zip(b.column(3).to_pylist(), b.column(6).to_pylist(), strict=True):
+                us = set(us)
+                row += [r] * len(us)
+                unit += us
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(unit, pa.string())], ["_m_row", "unit"])
+
+    wanted = spread.mapInArrow(rare_units, "_m_row bigint, unit string").join(units.select("unit", "whole", "chosen"), "unit")
+    found = wanted.groupBy("_m_row").agg(F.collect_list(F.struct("unit", "whole", "chosen")).alias("_m_units"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            for at in range(0, len(b), 128):
+                part = b.slice(at, 128)
+                out, n, total, crc, same = [], [], [], [], []
+                for size, check, ids, holes, rare, table in zip(*(part.column(c).to_pylist() for c in ("_m_size", "_m_crc", "ids", "holes", "rare", "_m_units")), strict=True):
+                    if rare:
+                        of = {u["unit"]: m.spelt(u["unit"], u["chosen"], u["whole"]) for u in table}
+                        parts, upto = [], 0
+                        for h, u in zip(holes, rare, strict=True):
+                            parts += (ids[upto:h], of[u])
+                            upto = h
+                        ids = b"".join([*parts, ids[upto:]])
+                    a = np.frombuffer(ids, "<u4")
+                    out.append(a.astype(np.int32))
+                    n.append(len(a))
+                    total.append(int(a.sum(dtype=np.int64)))
+                    crc.append(zlib.crc32(ids))
+                    back = m.decode(a.tolist())
+                    same.append(len(back) == size and zlib.crc32(back) == check)
+                flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([part.column("_m_key"), lists, *(pa.array(x, pa.int64()) for x in (n, total, crc)), pa.array(same, pa.bool_())], [key, "ids", "n_pieces", "id_sum", "ids_crc32", "decodes"])
+
+    whole = spread.join(found, "_m_row", "left").select("_m_key", "_m_size", "_m_crc", "ids", "holes", "rare", "_m_units")
+    return whole.mapInArrow(fill, f"`{key}` {kind}, ids array<int>, n_pieces bigint, id_sum bigint, ids_crc32 bigint, decodes boolean")

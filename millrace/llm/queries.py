@@ -61,7 +61,7 @@ def op8_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return piece_lattice.round_trips(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece_lattice.encode_documents(_table(spark, sf_dir, "documents"), piece_lattice.load(public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,25 +366,21 @@ def test_class_ngrams(docs, local):
     assert class_ngrams.score(rows, model, counts, keep=["doc_id"]).where("n_known > 0").count() == 0
 
 
-def test_pieces(spark, docs, local):
+def test_pieces(spark, docs):
     import sentencepiece
 
     path = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    odd = spark.createDataFrame([(900, "  two  blanks\n\ttab 日本語 🙂 é " + "q" * 70 + " end "), (901, "Zürich-" * 30)], "doc_id long, text string")
-    df = docs.select("doc_id", "text").unionByName(odd)
-    texts = {r.doc_id: r.text for r in df.collect()}
-    out = piece_lattice.encode_documents(df, path)
-    for r in out.collect():
-        assert r.ids == sp.encode(texts[r.doc_id] or "")
-    pieces = F.array(*[F.lit(sp.id_to_piece(i)) for i in range(0)]) if False else None
-    table = spark.createDataFrame([([sp.id_to_piece(i) for i in range(sp.get_piece_size())],)], "pieces array<string>")
-    back = out.where("doc_id in (0, 40, 900)").crossJoin(F.broadcast(table)).select("doc_id", piece_lattice.decode(F.col("ids"), F.col("pieces")).alias("t"))
-    assert all(r.t == (texts[r.doc_id] or "") for r in back.collect()) and pieces is None
+    odd = [(900, "  two  blanks\n\ttab 日本語 🙂 é " + "q" * 70 + " end "), (901, "Zürich-" * 30), (902, " ".join(f"w{i}x" for i in range(40_000)))]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
     for head in (1 << 18, 5):
-        for r in piece_lattice.document_totals(df, path, head=head).collect():
-            ids = sp.encode(texts[r.doc_id] or "")
-            assert (r.n_pieces, r.id_sum) == (len(ids), sum(ids))
+        out = piece_lattice.encode_documents(df, piece_lattice.load(path), head=head).collect()
+        assert len(out) == df.count()
+        for r in out:
+            ids = sp.encode(texts[r.doc_id])
+            assert r.ids == ids and r.n_pieces == len(ids) and r.id_sum == sum(ids) and r.decodes and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert piece_lattice.encode_documents(df.where("false"), piece_lattice.load(path)).count() == 0
 
 
 def test_long_pieces(spark):
@@ -393,14 +389,56 @@ def test_long_pieces(spark):
     path = P.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     r = np.random.default_rng(8)
-    texts = ["=" * 80, "-" * 100, "a" * 100, "".join(r.choice(list("etaoinshrdlu"), 120)), "x " + "=" * 61 + " y", "-" * 3000, "é" * 90, "🙂" * 70, "ab" * 31 + "日" + "=" * 75, "=" * 60, "=" * 59]
+    texts = ["=" * n for n in (59, 60, 61, 62, 63, 64, 80, 130, 150)]
+    texts += ["-" * 100, "a" * 130, "".join(r.choice(list("etaoinshrdlu"), 120)), "x " + "=" * 61 + " y", "-" * 3000, "é" * 90, "🙂" * 70, "ab" * 100, "ab" * 31 + "日" + "=" * 75, " " * 100 + "x", "-" * 200_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for x in piece_lattice.round_trips(df, path).collect():
+    for x in piece_lattice.encode_documents(df, piece_lattice.load(path)).collect():
         assert x.ids == sp.encode(texts[x.doc_id]) and x.decodes
-    for x in piece_lattice.document_totals(df, path).collect():
-        assert (x.n_pieces, x.id_sum) == (len(sp.encode(texts[x.doc_id])), sum(sp.encode(texts[x.doc_id])))
-    table = {p: (i, s) for i, (p, s) in enumerate([("a", -2.0), ("b", -2.0), ("ab", -3.0), ("aba", -3.5)])}
-    assert piece_lattice._best_path("abab", table, 3) == ["aba", "b"]
+
+
+def test_units_are_cut_where_no_piece_spans(monkeypatch):
+    model = piece_lattice.load(P.path("piece_bpe_32k.model"))
+    text = " ".join([prose(31, 200), "日本語", "=" * 300, "Zürich, a.b-c"])
+    units = model.units(text)
+    whole = (piece_lattice.MARK + text).replace(" ", piece_lattice.MARK)
+    assert "".join(units) == whole
+    at, borders = 0, set()
+    for u in units:
+        borders.add(at)
+        at += len(u)
+    for s in range(len(whole)):
+        for n in range(2, model.longest + 1):
+            if whole[s : s + n] in model.table:
+                assert not borders & set(range(s + 1, s + n))
+    monkeypatch.setattr(piece_lattice, "BLOCK", 16)
+    assert "".join(model.units(text)) == whole and model.units(text) == units
+
+
+def test_viterbi_of_a_unigram_model(spark):
+    """The fold's path has the greatest score of all segmentations, characters without a piece counted as unknown."""
+    r = np.random.default_rng(4)
+    pieces = sorted({"".join(r.choice(list("▁abc"), int(r.integers(1, 5)))) for _ in range(60)} | {"▁"})
+    model = piece_lattice.PieceModel(tuple((p, 300 + i, float(np.float32(-r.integers(1, 200) / 16))) for i, p in enumerate(pieces)), 3, "unigram")
+    texts = ["".join(r.choice(list("aabbccd "), int(r.integers(0, 50)))) for _ in range(60)] + ["abc" * 60, None, ""]
+
+    def best(word):
+        top = [(0.0, [])]
+        for e in range(1, len(word) + 1):
+            ways = []
+            for s in range(e):
+                if (p := word[s:e]) in model.table or s == e - 1:
+                    ways.append((top[s][0] + (model.table[p][1] if p in model.table else piece_lattice.UNKNOWN), [*top[s][1], p]))
+            top.append(max(ways, key=lambda x: x[0]))
+        return top[-1]
+
+    def total(ids):
+        names = {i: s for _, i, s in model.rows}
+        return sum(names.get(i, piece_lattice.UNKNOWN) for i in ids)
+
+    for x in piece_lattice.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect():
+        word = (piece_lattice.MARK + texts[x.doc_id]).replace(" ", piece_lattice.MARK) if texts[x.doc_id] else ""
+        unknown = sum(c not in model.table for c in best(word)[1])
+        assert x.decodes and total(i for i in x.ids if i >= 300) + unknown * piece_lattice.UNKNOWN == pytest.approx(best(word)[0])
 
 
 def test_pieces_query(spark, docs, tmp_path):
