@@ -166,10 +166,15 @@ class PieceModel:
         parts = _merged(unit, self.table) if self.kind == "bpe" else _best_path(unit, self.table, self.longest)
         return [i for p in parts for i in ([self.table[p][0]] if p in self.table else self.single(p))]
 
+    @functools.cached_property
+    def width(self) -> str:
+        """Type of the numbers that ids travel as."""
+        return "<u2" if max(max((i for _, i, _ in self.rows), default=0), self.byte0 + 255) < 1 << 16 else "<u4"
+
     def spelt(self, unit: str, chosen: list[dict] | None, whole: list[int] | None) -> bytes:
-        """The unit's ids as little-endian 32-bit numbers, from its chosen edges."""
+        """The unit's ids as little-endian numbers of :attr:`width`, from its chosen edges."""
         if whole is not None:
-            return np.array(whole, "<u4").tobytes()
+            return np.array(whole, self.width).tobytes()
         if not chosen:
             ids = [i for c in unit for i in self.single(c)]
         else:
@@ -183,7 +188,7 @@ class PieceModel:
                 at = e
             for c in unit[at:]:
                 ids += self.single(c)
-        return np.array(ids, "<u4").tobytes()
+        return np.array(ids, self.width).tobytes()
 
     @functools.cached_property
     def sounds(self) -> dict[int, bytes]:
@@ -286,19 +291,19 @@ def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
             for at in range(0, len(b), 2000):
                 part = b.slice(at, 2000)
                 words = part.column(0).to_pylist()
-                whole = [m.whole_ids(w) if len(w) > LONG else None for w in words]
                 owner, start, size = m.spans([w if len(w) <= LONG else "" for w in words])
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
                 # the 0 that opens each unit's list is the row with the unit itself
                 packed = np.insert(start * 256 + size, cuts[:-1], 0)
                 lists = pa.ListArray.from_arrays(pa.array((cuts + np.arange(len(cuts))).astype(np.int32)), pa.array(packed.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(whole, pa.list_(pa.int32())), lists], ["unit", "c", "whole", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["unit", "c", "spans"])
 
-    rows = units.select("unit", "c").mapInArrow(explode, "unit string, c bigint, whole array<int>, spans array<int>")
-    rows = rows.select("*", F.explode("spans").alias("e")).select("unit", "c", "whole", "e", F.expr("substring(unit, shiftright(e, 8) + 1, e & 255)").alias("piece"))
+    rows = units.select("unit", "c").mapInArrow(explode, "unit string, c bigint, spans array<int>")
+    rows = rows.select("unit", "c", F.explode("spans").alias("e")).select("unit", "c", "e", F.expr("substring(unit, shiftright(e, 8) + 1, e & 255)").alias("piece"))
     joined = rows.join(F.broadcast(piece_table(spark, model)), "piece", "left").where("e = 0 or id is not null or (e & 255) = 1")
     first = F.col("e") == 0
-    joined = joined.select(F.when(first, F.col("unit")).alias("unit"), F.when(first, F.col("c")).alias("c"), F.when(first, F.col("whole")).alias("whole"), "e", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
+    # empty and not null: batches with null strings take far longer to make
+    joined = joined.select(F.when(first, F.col("unit")).otherwise("").alias("unit"), F.when(first, F.col("c")).otherwise(0).alias("c"), "e", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists(t: pa.Table) -> pa.RecordBatch:
@@ -316,7 +321,9 @@ def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
             if m.kind == "unigram":
                 fields |= {"s": s.astype(np.int32), "n": n.astype(np.int32), "score": score.astype(np.float64)}
             edges = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields)))
-            return pa.RecordBatch.from_arrays([*(heads[x].combine_chunks() if isinstance(heads[x], pa.ChunkedArray) else heads[x] for x in ("unit", "c", "whole")), edges], ["unit", "c", "whole", "edges"])
+            words = heads["unit"].combine_chunks()
+            whole = [m.whole_ids(w) if len(w) > LONG else None for w in words.to_pylist()]
+            return pa.RecordBatch.from_arrays([words, heads["c"].combine_chunks(), pa.array(whole, pa.list_(pa.int32())), edges], ["unit", "c", "whole", "edges"])
 
         m, held = shared.value, []
         for b in batches:
@@ -438,11 +445,11 @@ def encode_documents(df: DataFrame, model: PieceModel, *, key: str = "doc_id", t
                             parts += (ids[upto:h], of[u])
                             upto = h
                         ids = b"".join([*parts, ids[upto:]])
-                    a = np.frombuffer(ids, "<u4")
+                    a = np.frombuffer(ids, m.width).astype("<u4")
                     out.append(a.astype(np.int32))
                     n.append(len(a))
                     total.append(int(a.sum(dtype=np.int64)))
-                    crc.append(zlib.crc32(ids))
+                    crc.append(zlib.crc32(a.tobytes()))
                     back = m.decode(a.tolist())
                     same.append(len(back) == size and zlib.crc32(back) == check)
                 flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
