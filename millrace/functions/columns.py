@@ -69,3 +69,29 @@ def normal_component(v: list[Column], axis: list[Column]) -> list[Column]:
 
 def vector(prefix: str) -> list[Column]:
     return [F.col(f"{prefix}{c}") for c in "xyz"]
+
+
+def first_token(c: Column, fixes: dict[str, str] | None = None) -> Column:
+    """Text before the first blank, some of them replaced."""
+    token = F.split(c, " ")[0]
+    return reduce(lambda acc, kv: F.when(token == kv[0], kv[1]).otherwise(acc), (fixes or {}).items(), token)
+
+
+def base_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+
+
+def extension(path: Column) -> Column:
+    return F.regexp_extract(path, r"\.([^./]*)$", 1)
+
+
+def discretised(y: Column, low: float = 1, high: float = 19) -> Column:
+    """0 below ``low``, 2 from ``high`` on, else 1."""
+    return F.when(y < low, 0).when(y >= high, 2).otherwise(1)
+
+
+def box_area(south: Column, north: Column, west: Column, east: Column, radius: float = 6371.0) -> Column:
+    """Area of a latitude and longitude box, as width at its middle times height along a meridian, in square units of ``radius``."""
+    height = F.radians(north - south) * radius
+    half = F.sin(F.radians(east - west) / 2) * F.cos(F.radians((north + south) / 2))
+    return height * 2 * radius * F.asin(half)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import time
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,3 +119,94 @@ def rolling_origin(df: DataFrame, months: list[int], fit_score: Callable[[DataFr
 
 def linspace(lo: float, hi: float, n: int) -> list[float]:
     return [float(x) for x in np.linspace(lo, hi, n)]
+
+
+def stratified_fold(df: DataFrame, key: str, label: str, k: int, *, blocks: int = 64) -> DataFrame:
+    """Deterministic fold of each row with equal shares of every label: places inside (label, hash block), modulo ``k``."""
+    base = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    place = F.row_number().over(W.partitionBy(label, "_b").orderBy(F.xxhash64(F.col(key), F.lit(1)), key))
+    return base.withColumn("fold", ((place + F.col("_b")) % k).cast("int")).drop("_b")
+
+
+def fit_contributions(train: DataFrame, features: list[str], contributions: list[str], **options) -> dict:
+    """A linear model for each contribution of a target."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    ready = VectorAssembler(inputCols=features, outputCol="_f").transform(train)
+    return {c: LinearRegression(featuresCol="_f", labelCol=c, **options).fit(ready) for c in contributions}
+
+
+def summed_contributions(models: dict, df: DataFrame, features: list[str]) -> DataFrame:
+    """Predictions of all contributions and their sum, ``prediction``."""
+    from pyspark.ml.feature import VectorAssembler
+
+    out = VectorAssembler(inputCols=features, outputCol="_f").transform(df)
+    for c, m in models.items():
+        out = m.copy().setPredictionCol(f"{c}_hat").transform(out)
+    return out.withColumn("prediction", sum((F.col(f"{c}_hat") for c in models), F.lit(0.0))).drop("_f")
+
+
+def save_model(model, path: str) -> None:
+    from pyspark.ml import PipelineModel
+
+    PipelineModel(stages=[model]).write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path).stages[0]
+
+
+def ranked_importance(spark: SparkSession, importance: dict[str, float]) -> DataFrame:
+    """(feature, importance, rank), most important first, ties by name."""
+    df = spark.createDataFrame(list(importance.items()), "feature string, importance double")
+    return df.withColumn("rank", F.row_number().over(W.orderBy(F.desc("importance"), "feature"))).orderBy("rank")  # a row for each feature
+
+
+def drop_unhelpful(df: DataFrame, columns: list[str], metric: Callable[[DataFrame, list[str]], float], *, margin: float = 0.005) -> list[str]:
+    """Columns left after dropping, one at a time, each whose absence costs at most ``margin`` of the score (higher is better)."""
+    left, best = list(columns), metric(df, list(columns))
+    for c in columns:
+        rest = [x for x in left if x != c]
+        if rest and (score := metric(df, rest)) >= best - margin:
+            left, best = rest, max(best, score)
+    return left
+
+
+def biclusters(df: DataFrame, row: str, column: str, value: str, k: int, *, cells: int = 4_000_000, seed: int = 0) -> tuple[dict, dict]:
+    """Spectral biclusters of a small dense matrix: rows and columns to cluster numbers. Larger matrices than ``cells`` are an error."""
+    got = df.groupBy(row, column).agg(F.sum(value).alias("v"))
+    rows, columns = ([r[0] for r in got.select(c).distinct().orderBy(c).limit(cells + 1).collect()] for c in (row, column))
+    if len(rows) * len(columns) > cells:
+        raise ValueError("the matrix is too large")
+    at, to = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(columns)}
+    m = np.zeros((len(rows), len(columns)))
+    for r, c, v in got.collect():
+        m[at[r], to[c]] = v
+    scale = lambda s: 1 / np.sqrt(np.maximum(s, 1e-12))
+    u, _, v = np.linalg.svd(scale(m.sum(axis=1))[:, None] * m * scale(m.sum(axis=0))[None, :], full_matrices=False)
+    points = np.concatenate([u[:, 1:k], v[1:k].T])
+    centres = points[np.random.default_rng(seed).choice(len(points), k, replace=False)]
+    for _ in range(50):
+        near = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([points[near == j].mean(axis=0) if (near == j).any() else centres[j] for j in range(k)])
+    return dict(zip(rows, near[: len(rows)].tolist(), strict=True)), dict(zip(columns, near[len(rows) :].tolist(), strict=True))
+
+
+def timed(name: str, say: Callable[[str], None] = print):
+    """Decorator: says how long a step's planning and driver work took."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(*args, **kwargs):
+            start = time.perf_counter()
+            try:
+                return f(*args, **kwargs)
+            finally:
+                say(f"{name}: {time.perf_counter() - start:.2f} s")
+
+        return run
+
+    return wrap

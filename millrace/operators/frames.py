@@ -42,25 +42,90 @@ def skip_first(df: DataFrame, step: str, n: int, fraction: float) -> DataFrame:
     return df.where(F.col(step) > last) if last > 0 else df
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Places 0..n-1 in the order of ``order``: rows are dealt to range partitions, and each counts on from the ones before."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+    # a row for each partition
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    sizes = sizes.select("_p", "_first", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return ranged.join(F.broadcast(sizes), "_p").withColumn(name, F.col("_before") + F.col("_m") - F.col("_first")).drop("_p", "_m", "_first", "_before")
+
+
 def label_encode(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """Sorted distinct values to 0..n-1. The classes are a table, joined back; nulls stay null."""
     classes = df.where(F.col(column).isNotNull()).select(column).distinct()
-    coded = classes.withColumn(name or f"{column}_enc", F.dense_rank().over(W.orderBy(column)) - 1)
-    return df.join(coded, column, "left")
+    return df.join(numbered(classes, [column], name or f"{column}_enc"), column, "left")
 
 
 def one_hot(train: DataFrame, test: DataFrame, columns: list[str], *, most: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Boolean columns for values found in both tables; a column is skipped once ``most`` columns were added."""
+    """Boolean columns for values found in both tables; once ``most`` columns were added no more are.
+
+    A column with more common values than a table can have columns for is an error, not cut short.
+    """
     added = 0
     for c in columns:
         if added > most:
             break
-        both = sorted(r[0] for r in train.select(c).intersect(test.select(c)).where(F.col(c).isNotNull()).limit(10_000).collect())
-        flags = {f"{c}_{v}": F.col(c).eqNullSafe(F.lit(v)) for v in both}
+        both = [r[0] for r in train.select(c).intersect(test.select(c)).where(F.col(c).isNotNull()).limit(10_001).collect()]
+        if len(both) > 10_000:
+            raise ValueError(f"{c} has more than 10,000 common values")
+        flags = {f"{c}_{v}": F.col(c).eqNullSafe(F.lit(v)) for v in sorted(both)}
         train, test, added = train.withColumns(flags), test.withColumns(flags), added + len(flags)
     return train.drop(*columns), test.drop(*columns)
 
 
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """Drops a fixed list of columns; a name that isn't there is an error."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df.drop(*names)
+
+
+def checked(df: DataFrame, column: str, lo: float, hi: float) -> DataFrame:
+    """The same rows; a value that is null, not a number or outside [lo, hi] ends the query."""
+    ok = F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")) & F.col(column).between(lo, hi)
+    return df.withColumn(column, F.when(ok, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"{column} out of range: "), F.coalesce(F.col(column).cast("string"), F.lit("null")))).cast(df.schema[column].dataType)))
+
+
+def having(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is in another table."""
+    return df.join(keys.select(*on), on, "left_semi")
+
+
+def only_in_first(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys of ``a`` that ``b`` lacks."""
+    return a.select(*keys).subtract(b.select(*keys))
+
+
+def side_by_side(parts: list[DataFrame], key: str) -> DataFrame:
+    """Columns of several tables put together by their row key; rows are those of the first."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, key, "left")
+    return out
+
+
+def first_value(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+    """The first value of each group that isn't null, by an explicit order."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, order).alias(value))
+
+
+def sorted_by(df: DataFrame, keys: list[str], descending: tuple[str, ...] = ()) -> DataFrame:
+    """Total order over several keys, for output only."""
+    return df.orderBy(*[F.col(k).desc() if k in descending else F.col(k).asc() for k in keys])
+
+
+def transposed(df: DataFrame, key: str, columns: list[str], values: list) -> DataFrame:
+    """Columns become rows (``field``) and the keys' values columns; the keys' values are given."""
+    long = df.select(key, *columns).unpivot([key], columns, "field", "value")
+    return long.groupBy("field").pivot(key, values).agg(F.first("value"))
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str, columns: list[str], *, default: float = -1.0) -> DataFrame:
+    """Columns of a small lookup table; a key that it lacks gets ``default``."""
+    return df.join(table.select(key, *columns), key, "left").withColumns({c: F.coalesce(c, F.lit(default)) for c in columns})
+
+
 def share_of_total(df: DataFrame, key: str) -> DataFrame:
     """Normalised histogram."""
     counts = df.groupBy(key).agg(F.count("*").alias("n"))

@@ -17,23 +17,70 @@ from pyspark.sql import functions as F
 from ..functions.columns import cosine, cross, dot, norm, vector
 from .frames import symmetric
 
-#: Electronegativity, valence, free electron pairs and mass of each element.
-ELEMENTS = [("C", 2.55, 4, 0, 12.0), ("F", 3.98, 1, 3, 19.0), ("H", 2.2, 1, 0, 1.0), ("N", 3.04, 3, 1, 14.0), ("O", 3.44, 2, 2, 16.0)]
-#: Standard bonds (atom, atom, order, length).
+# Element, electronegativity, outer electrons, free pairs, free pairs as weights of donation, mass.
+ELEMENTS = [
+    ("H", 2.1, 1, 0, 0.0, 1.0),
+    ("O", 3.44, 6, 2, 0.8, 16.0),
+    ("C", 2.55, 4, 0, 0.0, 12.0),
+    ("N", 3.04, 5, 1, 1.0, 14.0),
+    ("F", 3.98, 7, 3, 0.5, 19.0),
+]
+
+# Element, element, bond order, standard length, standard energy.
 BONDS = [
-    ("C", "C", 1.0, 1.54), ("C", "C", 2.0, 1.34), ("C", "C", 3.0, 1.2), ("C", "F", 1.0, 1.35), ("C", "H", 1.0, 1.09), ("C", "N", 1.0, 1.47), ("C", "N", 2.0, 1.29), ("C", "N", 3.0, 1.16),
-    ("C", "O", 1.0, 1.43), ("C", "O", 2.0, 1.2), ("H", "H", 1.0, 0.74), ("H", "N", 1.0, 1.01), ("H", "O", 1.0, 0.96), ("N", "N", 1.0, 1.45), ("N", "N", 2.0, 1.25), ("N", "O", 1.0, 1.4), ("N", "O", 2.0, 1.21), ("O", "O", 1.0, 1.48),
-]
+    ("H", "C", 1.0, 1.09, 413.0),
+    ("H", "H", 1.0, 0.74, 436.0),
+    ("H", "N", 1.0, 1.01, 391.0),
+    ("H", "O", 1.0, 0.96, 459.0),
+    ("H", "F", 1.0, 0.92, 565.0),
+    ("C", "N", 1.0, 1.47, 308.0),
+    ("C", "N", 1.0, 1.39, 350.0),
+    ("C", "N", 1.5, 1.37, 450.0),
+    ("C", "N", 1.5, 1.33, 450.0),
+    ("C", "N", 2.0, 1.27, 615.0),
+    ("C", "N", 3.0, 1.16, 887.0),
+    ("C", "F", 1.0, 1.35, 205.0),
+    ("C", "O", 1.0, 1.47, 360.0),
+    ("C", "O", 1.0, 1.43, 360.0),
+    ("C", "O", 1.0, 1.36, 360.0),
+    ("C", "O", 1.5, 1.28, 650.0),
+    ("C", "O", 2.0, 1.23, 799.0),
+    ("C", "O", 2.0, 1.16, 1072.0),
+    ("C", "C", 1.0, 1.54, 348.0),
+    ("C", "C", 1.5, 1.39, 518.0),
+    ("C", "C", 2.0, 1.34, 614.0),
+    ("C", "C", 3.0, 1.2, 839.0),
+    ("N", "O", 1.0, 1.4, 201.0),
+    ("N", "O", 1.5, 1.25, 451.0),
+    ("N", "O", 2.0, 1.21, 607.0),
+    ("N", "N", 1.0, 1.45, 167.0),
+    ("N", "N", 1.5, 1.32, 340.0),
+    ("N", "N", 2.0, 1.25, 418.0),
+    ("N", "N", 3.0, 1.1, 942.0),
+    ("N", "F", 1.0, 1.36, 283.0),
+    ("O", "O", 1.0, 1.48, 142.0),
+    ("O", "O", 2.0, 1.21, 494.0),
+    ("O", "F", 1.0, 1.42, 190.0),
+    ("F", "F", 1.0, 1.42, 155.0),
+]
 
 
 def element_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ELEMENTS, "atom string, en double, valence int, lone_pair int, mass double")
+    return spark.createDataFrame(ELEMENTS, "atom string, en double, valence int, lone_pair int, donor double, mass double")
 
 
 def bond_table(spark: SparkSession) -> DataFrame:
-    """Standard bonds both ways round."""
-    df = spark.createDataFrame(BONDS, "atom0 string, atom1 string, bond_type double, standard_length double")
-    return symmetric(df, "atom0", "atom1").distinct()
+    """Standard bonds both ways round, with the difference of electronegativity."""
+    df = spark.createDataFrame(BONDS, "atom0 string, atom1 string, bond_type double, standard_length double, standard_energy double")
+    both = symmetric(df, "atom0", "atom1").distinct()
+    en = {e[0]: e[1] for e in ELEMENTS}
+    of = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in en.items() for x in kv]), c)
+    return both.withColumn("en_diff", of(F.col("atom1")) - of(F.col("atom0")))
+
+
+def lengths_by_pair(spark: SparkSession) -> DataFrame:
+    """(atom0, atom1, options): the standard lengths of each ordered pair of elements with their orders."""
+    return bond_table(spark).groupBy("atom0", "atom1").agg(F.collect_list(F.struct("standard_length", "bond_type")).alias("options"))
 
 
 def with_ends(pairs: DataFrame, atoms: DataFrame, columns: list[str]) -> DataFrame:
@@ -52,13 +99,16 @@ def pairs_of(atoms: DataFrame) -> DataFrame:
 
 
 def find_edges(atoms: DataFrame, factor: float = 1.1) -> DataFrame:
-    """Edges (a0 < a1): the nearest standard length of the two elements, kept if the distance is within ``factor`` of it."""
-    near = pairs_of(atoms).where("a0 < a1").join(F.broadcast(bond_table(atoms.sparkSession)), ["atom0", "atom1"])
-    best = F.min_by(F.struct("bond_type", "standard_length"), F.struct(F.abs(F.col("distance") - F.col("standard_length")), "bond_type"))
-    keys = ["mol", "a0", "a1", "distance", *[f"{c}{e}" for e in "01" for c in "xyz"]]
-    found = near.groupBy(*keys).agg(best.alias("b")).where(F.col("distance") <= F.col("b.standard_length") * factor)
+    """Edges (a0 < a1): the nearest standard length of the two elements, kept if the distance is within ``factor`` of it.
+
+    The lengths of an element pair come as one array with a broadcast row, so that the choice is
+    an expression and no aggregate over the pairs.
+    """
+    near = pairs_of(atoms).where("a0 < a1").join(F.broadcast(lengths_by_pair(atoms.sparkSession)), ["atom0", "atom1"])
+    off = F.transform("options", lambda o: F.struct(F.abs(F.col("distance") - o["standard_length"]).alias("off"), o["bond_type"].alias("bond_type"), o["standard_length"].alias("length")))
+    found = near.withColumn("_best", F.array_min(off)).where(F.col("distance") <= F.col("_best.length") * factor)
     unit = [F.try_divide(F.col(f"{c}1") - F.col(f"{c}0"), F.col("distance")).alias(c) for c in "xyz"]
-    return found.select("mol", "a0", "a1", "distance", F.col("b.bond_type").alias("bond_type"), *unit)
+    return found.select("mol", "a0", "a1", "distance", F.col("_best.bond_type").alias("bond_type"), *unit)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -129,12 +179,12 @@ def cycles(edges: DataFrame, longest: int = 10) -> DataFrame:
     return edges.groupBy("mol").applyInPandas(one, f"mol {kind}, nodes array<int>")
 
 
-def cycle_features(pairs: DataFrame, rings: DataFrame, *, default: float = 100.0) -> DataFrame:
-    """Mean ring length of the molecule, and whether each end is in a ring."""
+def cycle_features(pairs: DataFrame, rings: DataFrame, paths: DataFrame, *, default: float = 100.0) -> DataFrame:
+    """Mean ring length of the molecule, and whether the ends' neighbours along the path are in a ring; without a path they aren't."""
     mean = rings.groupBy("mol").agg(F.avg(F.size("nodes")).alias("ring_mean"), F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("_in"))
-    out = pairs.join(mean, "mol", "left")
+    out = pairs.join(mean, "mol", "left").join(paths.select("id", F.get("path", 1).alias("_n0"), F.get("path", F.size("path") - 2).alias("_n1")), "id", "left")
     inside = lambda c: F.coalesce(F.array_contains("_in", F.col(c)), F.lit(False))
-    return out.withColumns({"ring_mean": F.coalesce("ring_mean", F.lit(default)), "in_ring0": inside("a0"), "in_ring1": inside("a1")}).drop("_in")
+    return out.withColumns({"ring_mean": F.coalesce("ring_mean", F.lit(default)), "near_ring0": inside("_n0"), "near_ring1": inside("_n1")}).drop("_in", "_n0", "_n1")
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -147,7 +197,7 @@ def neighbour_features(pairs: DataFrame, edges: DataFrame, atoms: DataFrame, end
     ``edges`` go both ways; ``pairs`` have (id, mol, a0, a1). Across is the norm of the sum less its part along.
     """
     at, other = f"a{end}", f"a{1 - end}"
-    el = F.broadcast(element_table(atoms.sparkSession).select("atom", "en", "lone_pair"))
+    el = F.broadcast(element_table(atoms.sparkSession).select("atom", "en", F.col("donor").alias("lone_pair")))
     facts = atoms.join(el, "atom", "left").select("mol", "ai", "x", "y", "z", "en", "lone_pair")
     axis = with_ends(pairs.select("id", "mol", "a0", "a1"), facts, ["x", "y", "z", "en"])
     length = norm([F.col(f"{c}{1 - end}") - F.col(f"{c}{end}") for c in "xyz"])
@@ -169,16 +219,6 @@ def neighbour_features(pairs: DataFrame, edges: DataFrame, atoms: DataFrame, end
     return out.select("id", *[F.col(c).alias(f"{c}_{end}") for c in zero + none])
 
 
-def neighbours_by_hop(pairs: DataFrame, edges: DataFrame, atoms: DataFrame, hops: int = 5) -> DataFrame:
-    """Mean bond length and electronegativity of the non-hydrogen atoms at each hop, one column for each hop."""
-    near = hop_neighbours(edges, pairs.select("mol", F.col("a0").alias("ai")), hops)
-    facts = atoms.where("atom <> 'H'").join(F.broadcast(element_table(atoms.sparkSession)), "atom").select("mol", F.col("ai").alias("nbr"), "en")
-    wide = near.join(facts, ["mol", "nbr"]).groupBy("mol", "ai").pivot("hop", list(range(1, hops + 1))).agg(F.avg("en"))
-    for k in range(1, hops + 1):
-        wide = wide.withColumnRenamed(str(k), f"en_hop{k}")
-    return wide
-
-
 def partial_charge(edges: DataFrame, atoms: DataFrame) -> DataFrame:
     """Sums over an atom's bonds of the electronegativity difference by distance, and by its fourth power."""
     el = F.broadcast(element_table(atoms.sparkSession).select("atom", "en"))
@@ -348,7 +388,7 @@ def path_angles(paths: DataFrame, pairs: DataFrame, atoms: DataFrame) -> DataFra
 
 def pi_donor(edges: DataFrame, atoms: DataFrame) -> DataFrame:
     """For each atom: electronegativity differences and free pairs of its non-hydrogen bonds, pairs weighted 1, 1/2, 2 by bond order 1, 1.5, 2."""
-    el = F.broadcast(element_table(atoms.sparkSession).select("atom", "en", "lone_pair"))
+    el = F.broadcast(element_table(atoms.sparkSession).select("atom", "en", F.col("donor").alias("lone_pair")))
     e = with_ends(edges, atoms.join(el, "atom", "left"), ["atom", "en", "lone_pair"]).where("atom1 <> 'H'")
     w = F.when(F.col("bond_type") == 1.5, 0.5).when(F.col("bond_type") >= 2, 2.0).otherwise(1.0)
     return e.groupBy("mol", F.col("a0").alias("ai")).agg(F.sum(F.col("en1") - F.col("en0")).alias("pi_en"), F.sum(F.col("lone_pair1") * w).alias("pi_pairs"))
@@ -368,7 +408,7 @@ def length_neighbours(pairs: DataFrame, atoms: DataFrame, end: int, factor: floa
     """Other atoms within ``factor`` of a standard bond length of one end: count, bond orders and electronegativity differences."""
     el = F.broadcast(element_table(atoms.sparkSession).select("atom", "en"))
     near = pairs_of(atoms).join(F.broadcast(bond_table(atoms.sparkSession)), ["atom0", "atom1"]).where(F.col("distance") <= F.col("standard_length") * factor)
-    near = near.join(el.select(F.col("atom").alias("atom0"), F.col("en").alias("en0")), "atom0").join(el.select(F.col("atom").alias("atom1"), F.col("en").alias("en1")), "atom1")
+    near = near.drop("en_diff").join(el.select(F.col("atom").alias("atom0"), F.col("en").alias("en0")), "atom0").join(el.select(F.col("atom").alias("atom1"), F.col("en").alias("en1")), "atom1")
     near = near.select("mol", F.col("a0").alias(f"a{end}"), F.col("a1").alias("nbr"), "bond_type", (F.col("en1") - F.col("en0")).alias("d"))
     got = pairs.select("id", "mol", "a0", "a1").join(near, ["mol", f"a{end}"]).where("nbr <> a0 and nbr <> a1")
     agg = got.groupBy("id").agg(F.count_distinct("nbr").alias(f"nbrs_{end}"), F.max("bond_type").alias(f"order_max_{end}"), F.avg("bond_type").alias(f"order_mean_{end}"), F.max("d").alias(f"en_max_{end}"), F.min("d").alias(f"en_min_{end}"), F.avg("d").alias(f"en_mean_{end}"))

@@ -185,3 +185,23 @@ def islands(df: DataFrame, keys: list[str], order: list[str], value: str) -> Dat
     w = W.partitionBy(*keys).orderBy(*order)
     turn = (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")
     return df.withColumn("_turn", turn).withColumn("island", F.sum("_turn").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_turn")
+
+
+DURATION_IDS = (["item_id"], ["shop_id"], ["category_id"], ["shop_id", "category_id"], ["shop_id", "item_id"])
+
+
+def duration_features(df: DataFrame, sales: DataFrame, ids: tuple[list[str], ...] = DURATION_IDS) -> DataFrame:
+    """Age since the last trade, and oldness, for each of several ids; trades are rows whose count isn't 0."""
+    traded = sales.where("cnt <> 0").withColumn("cnt", F.abs("cnt"))
+    for keys in ids:
+        name = "_".join(k.removesuffix("_id") for k in keys)
+        df = oldness(last_traded_age(df, traded, keys, name=f"{name}_age"), traded, keys, name=f"{name}_oldness")
+    return df
+
+
+def with_future_month(history: DataFrame, test: DataFrame, month: int, features) -> tuple[DataFrame, DataFrame]:
+    """Test rows as one more month: ``features`` are computed over both together, then cut apart again. Returns (train, test)."""
+    blank = {c: F.lit(None).cast(t) for c, t in history.dtypes if c not in test.columns}
+    ahead = test.withColumns(blank | {"month": F.lit(month), "cnt": F.lit(0.0), "price": F.lit(0.0), "is_test": F.lit(True)})
+    both = features(history.where(F.col("month") < month).withColumn("is_test", F.lit(False)).unionByName(ahead.select(*history.columns, "is_test")))
+    return both.where("not is_test").drop("is_test"), both.where("is_test").drop("is_test")

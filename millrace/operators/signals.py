@@ -16,7 +16,7 @@ def tumbling(df: DataFrame, size: int, *, key: str | None = None, pos: str = "t"
     keys = [key] if key else []
     whole = df.groupBy(*keys).agg(F.floor((F.max(pos) + 1) / size).alias("_whole"))
     out = df.withColumn("chunk", F.floor(F.col(pos) / size))
-    out = out.join(F.broadcast(whole), keys) if keys else out.crossJoin(F.broadcast(whole))
+    out = out.join(whole, keys) if keys else out.crossJoin(F.broadcast(whole))
     return out.where(F.col("chunk") < F.col("_whole")).drop("_whole")
 
 
@@ -56,6 +56,20 @@ def scale_difference(df: DataFrame, k: int, *, keys: tuple[str, ...] = ("signal_
     return kept.withColumn("diff", F.abs(F.col("_mean") - F.lag("_mean").over(w))).drop("_mean", "_at")
 
 
+def _next_higher(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the nearest higher values to the left (-1: none) and to the right (n: none), with a falling stack."""
+    n = len(x)
+    left, right = np.full(n, -1), np.full(n, n)
+    stack: list[int] = []
+    for i, v in enumerate(x.tolist()):
+        while stack and x[stack[-1]] < v:
+            right[stack.pop()] = i
+        # equal values stay on the stack: the nearest higher one is below all of them
+        left[i] = stack[-1] if stack and x[stack[-1]] > v else left[stack[-1]] if stack else -1
+        stack.append(i)
+    return left, right
+
+
 def find_peaks(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of local maxima (middle of a plateau) that rise ``threshold`` above both neighbours; prominence; width at half of it."""
     n = len(x)
@@ -69,11 +83,9 @@ def find_peaks(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray,
     rise = np.minimum(x[at] - x[at - 1], x[at] - x[at + 1])
     at = at[rise >= threshold]
     prominence, width = np.zeros(len(at)), np.zeros(len(at))
+    left_of, right_of = _next_higher(x)
     for i, p in enumerate(at):
-        higher_left = np.flatnonzero(x[:p] > x[p])
-        higher_right = np.flatnonzero(x[p + 1 :] > x[p])
-        lo = higher_left[-1] + 1 if len(higher_left) else 0
-        hi = p + 1 + higher_right[0] if len(higher_right) else n
+        lo, hi = left_of[p] + 1, right_of[p]
         prominence[i] = x[p] - max(x[lo : p + 1].min(), x[p:hi].min())
         half = x[p] - prominence[i] / 2
         a = p
@@ -162,10 +174,22 @@ def chunk_transform(df: DataFrame, size: int, *, threshold: float = 8.0, key: st
     return out
 
 
-def sliding_steps(df: DataFrame, length: int, features: list[str], *, order: str, label: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Arrays of the last ``length`` steps for each step that has as many; the label is the last step's."""
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(order).rowsBetween(-(length - 1), 0)
-    out = df.withColumn("steps", F.collect_list(F.array(*features)).over(w)).where(F.size("steps") == length)
+def sliding_steps(df: DataFrame, length: int, features: list[str], *, order: str, label: str | None = None, keys: tuple[str, ...] = (), block: int = 100_000) -> DataFrame:
+    """Arrays of the last ``length`` steps for each step that has as many; the label is the last step's.
+
+    Without keys the steps are dealt to blocks of ``block`` places (``order`` is a place), each with the
+    ``length`` - 1 steps before it, so that no task holds all of them.
+    """
+    if keys:
+        w, out = W.partitionBy(*keys), df
+    else:
+        own = F.floor(F.col(order) / block)
+        both = F.when(F.col(order) % block > block - length, F.array(own, own + 1)).otherwise(F.array(own))
+        out = df.withColumn("_block", F.explode(both))
+        w = W.partitionBy("_block")
+    out = out.withColumn("steps", F.collect_list(F.array(*features)).over(w.orderBy(order).rowsBetween(-(length - 1), 0))).where(F.size("steps") == length)
+    if not keys:
+        out = out.where(F.col("_block") == F.floor(F.col(order) / block))
     return out.select(*keys, order, "steps", *([label] if label else []))
 
 
@@ -201,7 +225,7 @@ def phase_lead(df: DataFrame, k: int, *, group: str, order: str, value: str) ->
 def rolled(df: DataFrame, shifts: list[int], *, key: str, pos: str, flip: bool = False) -> DataFrame:
     """Augmentation: a copy of each series for each circular shift, reversed ones too with ``flip``."""
     n = df.groupBy(key).agg(F.count("*").alias("_n"))
-    out = df.join(F.broadcast(n), key).crossJoin(df.sparkSession.createDataFrame([(s, f) for s in shifts for f in ((False, True) if flip else (False,))], "shift int, flipped boolean"))
+    out = df.join(n, key).crossJoin(df.sparkSession.createDataFrame([(s, f) for s in shifts for f in ((False, True) if flip else (False,))], "shift int, flipped boolean"))
     moved = F.pmod(F.col(pos) + F.col("shift"), F.col("_n"))
     return out.withColumn(pos, F.when(F.col("flipped"), F.col("_n") - 1 - moved).otherwise(moved)).drop("_n")
 
@@ -221,3 +245,33 @@ def outlier_votes(df: DataFrame, *, key: str = "signal_id", feature: str = "feat
 
 def consensus(df: DataFrame, *, group: str, prediction: str, threshold: float = 0.5) -> DataFrame:
     return df.withColumn("agreed", (F.avg(prediction).over(W.partitionBy(group)) >= threshold).cast("int"))
+
+
+def whole_pipeline(df: DataFrame, steps: int, length: int, *, threshold: float, distance: int, ratio: float, cleanup: int, width: int) -> DataFrame:
+    """Corona pairs out, smoothed signal out, then the chunk features of ``length // steps`` rows; a rest of the length is one more chunk."""
+    clean = remove_corona(df, threshold=threshold, distance=distance, ratio=ratio, cleanup=cleanup)
+    noise = smooth(clean, width).select("signal_id", "t", F.col("residual").alias("value"))
+    return chunk_transform(noise, length // steps, threshold=threshold)
+
+
+def outlier_grid(df: DataFrame, target: DataFrame, thresholds: list[float], shares: list[float], *, key: str = "signal_id", feature: str = "feature", votes: int = 3) -> DataFrame:
+    """(z, share, percent): percent of target 1 among the outliers for each pair of parameters, 0 without any.
+
+    Statistics and z-scores are computed once; the grid is exploded over one row for each key.
+    """
+    v = F.col("value")
+    names = ["mean", "abs_mean", "std", "q50", "q10", "q90"]
+    stats = df.groupBy(key, feature).agg(F.avg(v).alias("mean"), F.avg(F.abs(v)).alias("abs_mean"), F.stddev_samp(v).alias("std"), *[F.percentile(v, F.lit(q)).alias(f"q{int(100 * q)}") for q in (0.5, 0.1, 0.9)])
+    across = stats.groupBy(feature).agg(*[f(n).alias(f"_{p}_{n}") for n in names for f, p in ((F.avg, "a"), (F.stddev_pop, "s"))])
+    far = {n: F.abs(F.try_divide(F.col(n) - F.col(f"_a_{n}"), F.nullif(F.col(f"_s_{n}"), F.lit(0.0)))) for n in names}
+    wide = stats.join(F.broadcast(across), feature).select(key, *[c.alias(n) for n, c in far.items()], F.explode(F.array(*[F.lit(float(z)) for z in thresholds])).alias("z"))
+    per = wide.groupBy(key, "z").agg(F.count("*").alias("_n"), *[F.count_if(F.col(n) > F.col("z")).alias(n) for n in names])
+    per = per.withColumn("share", F.explode(F.array(*[F.lit(float(x)) for x in shares])))
+    cast = sum(((F.col(n) > F.floor(F.col("_n") * F.col("share"))).cast("int") for n in names), F.lit(0))
+    out = per.withColumn("_out", cast >= votes).join(target, key)
+    return out.groupBy("z", "share").agg(F.coalesce(F.round(100 * F.avg(F.when(F.col("_out"), F.col("target").cast("double"))), 2), F.lit(0.0)).alias("percent"))
+
+
+def whole_groups(df: DataFrame, group: str, batches: int) -> DataFrame:
+    """Adds ``batch``, by hash of the group, so that no measurement is split between batches."""
+    return df.withColumn("batch", F.pmod(F.xxhash64(group), F.lit(batches)).cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import tokens
+from .frames import label_encode
 
 
 def tf_idf(df: DataFrame, *, key: str, text: str, min_df: float = 0.0, custom: bool = False, stop: tuple[str, ...] = ()) -> DataFrame:
@@ -36,15 +37,20 @@ def coverage(df: DataFrame, text: str, top: int = 10_000) -> DataFrame:
 def bucket_neighbours(weights: DataFrame, query: DataFrame, pool: DataFrame, *, key: str, buckets: list[str], k: int) -> DataFrame:
     """(buckets, key, nbr, rank, distance): nearest pool items by Euclidean distance of unit TF-IDF rows in the same bucket, itself left out.
 
-    Distances come from shared terms alone (an equi join on bucket and term): d^2 = 2 - 2 dot.
-    Pairs without a shared term are at sqrt(2) and join only where fewer than k share one.
+    Distances come from shared terms (an equi join on bucket and term): d^2 = 2 - 2 dot. Pairs
+    without a shared term are at sqrt(2); only rows with fewer than ``k`` others get them, from the
+    bucket's 2 ``k`` least ids, which always hold enough. Rows without any term take no part.
     """
     q = query.join(weights, key).select(*buckets, key, "term", "weight")
     p = pool.join(weights, key).select(*buckets, F.col(key).alias("nbr"), "term", F.col("weight").alias("w2"))
     near = q.join(p, [*buckets, "term"]).where(F.col(key) != F.col("nbr")).groupBy(*buckets, key, "nbr").agg(F.sum(F.col("weight") * F.col("w2")).alias("dot"))
     d = near.select(*buckets, key, "nbr", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot"))).alias("distance"))
     w = W.partitionBy(*buckets, key).orderBy("distance", "nbr")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    short = q.select(*buckets, key).distinct().join(d.groupBy(*buckets, key).agg(F.count("*").alias("_n")), [*buckets, key], "left").where(F.coalesce("_n", F.lit(0)) < k).drop("_n")
+    least = p.select(*buckets, "nbr").distinct().withColumn("_i", F.row_number().over(W.partitionBy(*buckets).orderBy("nbr"))).where(F.col("_i") <= 2 * k).drop("_i")
+    far = short.join(least, buckets).where(F.col(key) != F.col("nbr")).join(d.select(*buckets, key, "nbr"), [*buckets, key, "nbr"], "left_anti")
+    both = d.unionByName(far.withColumn("distance", F.sqrt(F.lit(2.0))))
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def neighbour_weights(near: DataFrame, *, keys: list[str], far: float = 0.9) -> DataFrame:
@@ -69,3 +75,38 @@ def neighbour_feature(rows: DataFrame, near: DataFrame, facts: DataFrame, *, key
     name = f"{n}_neighbour"
     out = got.groupBy("shop_id", "month", key).agg(stat.alias(name))
     return rows.join(out, ["shop_id", "month", key], "left").fillna(default, [name])
+
+
+def neighbour_assembly(rows: DataFrame, near: DataFrame, facts: DataFrame, *, key: str, values: list[str], ns: tuple[int, ...] = (1, 2, 6), weighted: bool = False) -> DataFrame:
+    """:func:`neighbour_feature` for several values and numbers of neighbours, one column for each."""
+    out = rows
+    for v in values:
+        for n in ns:
+            out = neighbour_feature(out, near, facts, key=key, value=v, n=n, weighted=weighted).withColumnRenamed(f"{n}_neighbour", f"{n}_neighbour_{v}")
+    return out
+
+
+def reduced(weights: DataFrame, *, key: str, k: int, prefix: str = "text") -> DataFrame:
+    """TF-IDF rows reduced to ``k`` principal components: (key, prefix_0 ..). For vocabularies of some thousand terms."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    terms = label_encode(weights, "term", "_i")
+    size = terms.agg(F.max("_i") + 1).first()[0] or 0
+    cells = terms.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("_i").cast("int"), "weight"))).alias("_w"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(int(size) - 1)), lambda i: F.coalesce(F.try_element_at("_w", i), F.lit(0.0)))
+    ready = cells.select(key, array_to_vector(dense).alias("_v"))
+    got = PCA(k=k, inputCol="_v", outputCol="_p").fit(ready).transform(ready).withColumn("_p", vector_to_array("_p"))
+    return got.select(key, *[F.get("_p", F.lit(i)).alias(f"{prefix}_{i}") for i in range(k)])
+
+
+def text_table(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """Table of reduced text columns of a dimension (item, shop or category), named after its text."""
+    return reduced(tf_idf(df.select(key, text), key=key, text=text), key=key, k=k, prefix=f"{text}_text")
+
+
+def bring_text(facts: DataFrame, tables: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """The first columns of each text table joined to the facts by its key."""
+    for key, (table, n) in tables.items():
+        facts = facts.join(table.select(key, *[c for c in table.columns if c != key][:n]), key, "left")
+    return facts

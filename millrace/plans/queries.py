@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {VIEWS.strip()} {sql.strip()}"
+            SQL[f.__name__] = f"WITH RECURSIVE {VIEWS.strip()} {sql.strip()}"
         return f
 
     return add
@@ -43,12 +43,14 @@ sales AS (SELECT l_suppkey % 5 AS shop_id, l_partkey % 50 AS item_id, (l_partkey
 monthly AS (SELECT shop_id, item_id, month, avg(price) AS price, sum(cnt) AS cnt, max(row_id) AS row_id FROM sales GROUP BY ALL),
 atoms AS (SELECT l_orderkey AS mol, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS ai,
   ['C','F','H','N','O'][(l_partkey % 5 + 1)::INTEGER] AS atom, l_quantity / 20 AS x, l_discount * 25 AS y, l_tax * 25 AS z FROM lineitem),
-el(atom, en, valence, lone_pair) AS (VALUES ('C', 2.55::DOUBLE, 4, 0), ('F', 3.98, 1, 3), ('H', 2.2, 1, 0), ('N', 3.04, 3, 1), ('O', 3.44, 2, 2)),
+el(atom, en, valence, lone_pair, donor, mass) AS (VALUES ('H', 2.1::DOUBLE, 1, 0, 0::DOUBLE, 1::DOUBLE), ('O', 3.44, 6, 2, 0.8, 16), ('C', 2.55, 4, 0, 0, 12), ('N', 3.04, 5, 1, 1, 14), ('F', 3.98, 7, 3, 0.5, 19)),
 pairs AS (SELECT p.mol, p.ai AS a0, q.ai AS a1, p.atom AS atom0, q.atom AS atom1, p.x AS x0, p.y AS y0, p.z AS z0, q.x AS x1, q.y AS y1, q.z AS z1,
   sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)) AS distance FROM atoms p JOIN atoms q ON p.mol = q.mol AND p.ai <> q.ai),
-bond1(atom0, atom1, bond_type, len) AS (VALUES ('C','C',1.0::DOUBLE,1.54::DOUBLE), ('C','C',2.0,1.34), ('C','C',3.0,1.2), ('C','F',1.0,1.35), ('C','H',1.0,1.09), ('C','N',1.0,1.47), ('C','N',2.0,1.29), ('C','N',3.0,1.16),
-  ('C','O',1.0,1.43), ('C','O',2.0,1.2), ('H','H',1.0,0.74), ('H','N',1.0,1.01), ('H','O',1.0,0.96), ('N','N',1.0,1.45), ('N','N',2.0,1.25), ('N','O',1.0,1.4), ('N','O',2.0,1.21), ('O','O',1.0,1.48)),
-bonds AS (SELECT atom0, atom1, bond_type, len FROM bond1 UNION SELECT atom1, atom0, bond_type, len FROM bond1),
+bond1(atom0, atom1, bond_type, len, energy) AS (VALUES ('H','C',1::DOUBLE,1.09::DOUBLE,413::DOUBLE), ('H','H',1,0.74,436), ('H','N',1,1.01,391), ('H','O',1,0.96,459), ('H','F',1,0.92,565),
+  ('C','N',1,1.47,308), ('C','N',1,1.39,350), ('C','N',1.5,1.37,450), ('C','N',1.5,1.33,450), ('C','N',2,1.27,615), ('C','N',3,1.16,887), ('C','F',1,1.35,205),
+  ('C','O',1,1.47,360), ('C','O',1,1.43,360), ('C','O',1,1.36,360), ('C','O',1.5,1.28,650), ('C','O',2,1.23,799), ('C','O',2,1.16,1072), ('C','C',1,1.54,348), ('C','C',1.5,1.39,518), ('C','C',2,1.34,614), ('C','C',3,1.2,839),
+  ('N','O',1,1.4,201), ('N','O',1.5,1.25,451), ('N','O',2,1.21,607), ('N','N',1,1.45,167), ('N','N',1.5,1.32,340), ('N','N',2,1.25,418), ('N','N',3,1.1,942), ('N','F',1,1.36,283), ('O','O',1,1.48,142), ('O','O',2,1.21,494), ('O','F',1,1.42,190), ('F','F',1,1.42,155)),
+bonds AS (SELECT atom0, atom1, bond_type, len, energy FROM bond1 UNION SELECT atom1, atom0, bond_type, len, energy FROM bond1),
 edges1 AS (SELECT mol, a0, a1, distance, bond_type, (x1 - x0) / nullif(distance, 0) AS x, (y1 - y0) / nullif(distance, 0) AS y, (z1 - z0) / nullif(distance, 0) AS z FROM (
   SELECT p.*, b.bond_type, b.len, row_number() OVER (PARTITION BY p.mol, p.a0, p.a1 ORDER BY abs(p.distance - b.len), b.bond_type) AS r FROM pairs p JOIN bonds b USING (atom0, atom1) WHERE p.a0 < p.a1) WHERE r = 1 AND distance <= len * 1.1),
 edges AS (SELECT * FROM edges1 UNION ALL SELECT mol, a1, a0, distance, bond_type, -x, -y, -z FROM edges1),
@@ -261,11 +263,6 @@ def frame_keep_first(spark, d):
     return frames.keep_first(table(spark, d, "orders", ["o_custkey", "o_orderkey", "o_orderdate"]), ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def frame_anti_join(spark, d):
-    return table(spark, d, "customer", ["c_custkey"]).join(table(spark, d, "orders", ["o_custkey"]), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-
-
 @query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS customers, coalesce(b.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
 def frame_full_join(spark, d):
     a = table(spark, d, "customer", ["c_nationkey"]).groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("customers"))
@@ -435,36 +432,11 @@ def molecule_neighbour_lengths(spark, d):
     return rounded4(got.join(n, "id", "left").fillna(0, ["near_n"]), "near_mean").select("id", "near_n", "near_mean")
 
 
-@query()
-def molecule_nearest_atoms(spark, d):
-    return molecules.nearest_atoms(atoms(spark, d))
-
-
-@query()
-def molecule_conical_regions(spark, d):
-    return molecules.conical_regions(target_pairs(spark, d), atoms(spark, d))
-
-
-@query()
-def molecule_paths(spark, d):
-    return molecules.path_angles(molecules.shortest_paths(edges(spark, d), target_pairs(spark, d)), target_pairs(spark, d), atoms(spark, d))
-
-
-@query()
-def molecule_cycles(spark, d):
-    return molecules.cycle_features(target_pairs(spark, d), molecules.cycles(edges(spark, d)))
-
-
 @query()
 def molecule_hull(spark, d):
     return molecules.hull(atoms(spark, d))
 
 
-@query()
-def molecule_hetero_within(spark, d):
-    return molecules.hetero_within(edges(spark, d), atoms(spark, d), 2)
-
-
 # --- text -----------------------------------------------------------------------------
 
 
@@ -481,15 +453,6 @@ def text_coverage(spark, d):
     return text.coverage(table(spark, d, "part", ["p_name"]), "p_name", 5)
 
 
-@query()
-def text_neighbours(spark, d):
-    part = table(spark, d, "part", ["p_partkey", "p_name", "p_brand"])
-    w = text.tf_idf(part.select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("p_name")), key="p_partkey", text="p_name")
-    pool = part.select("p_partkey", "p_brand")
-    near = text.bucket_neighbours(w, pool, pool, key="p_partkey", buckets=["p_brand"], k=3)
-    return text.neighbour_weights(near, keys=["p_brand", "p_partkey"])
-
-
 # --- evaluation -----------------------------------------------------------------------
 
 
@@ -526,12 +489,10 @@ def eval_majority(spark, d):
     return evaluation.majority(predictions(spark, d), "kind", "y")
 
 
-@query()
-def eval_robust_blend(spark, d):
-    return evaluation.robust_blend(predictions(spark, d).withColumn("c", F.col("truth") * 0.5), ["a", "b", "c"], [0.4, 0.4, 0.2]).select("id", "blend")
-
-
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Densified panel with trailing statistics, lags and encodings."""
     dense = panel.densify(monthly(spark, d), base_year=1992)
     return panel.expanding_mean(panel.month_lag(panel.trailing_stats(dense, 4, (0.5,)), "cnt", 3), ["item_id"])
+
+
+from . import more as _more  # noqa: E402, F401  (registers its queries)
