@@ -13,6 +13,7 @@ Conventions that hold for every operator of this subpackage:
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="millrace-")
@@ -43,11 +46,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/millrace/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/millrace/{df.sparkSession.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove what :func:`staged` has written for this application, once its results have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -63,10 +72,36 @@ def lower_words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+@functools.cache
+def _trim():
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give unused memory back: Python workers live on between stages, and would keep the most they ever took."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``rows`` rows, so that results leave before the next part is read."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+        release()
+
+
 def texts_of(column: pa.Array, step: int = 256) -> Iterator[str | None]:
     """The texts of an Arrow column, made in small slices so that a batch's strings are never all in Python at once."""
     for at in range(0, len(column), step):
         yield from column.slice(at, step).to_pylist()
+    if len(column) > 4096:  # else :func:`parts_of` does
+        release()
 
 
 def crc_fold(key: str, k: int) -> Column:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, lower_words_of, mix, staged, texts_of, window_hashes
+from .common import WordHash, lower_words_of, mix, parts_of, staged, texts_of, window_hashes
 from .graphs import components
 from .members import bitmap, holds
 
@@ -115,7 +115,7 @@ def _shingled(df: DataFrame, key: str, text: str, k: int, num: int, den: int) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHash(), set()
-        for b in batches:
+        for b in parts_of(batches):
             n, ids, sigs, keys = [], [], [], []
             for t in texts_of(b.column(1)):
                 s = shingle_set(t, k, words)
@@ -139,7 +139,7 @@ def _arrays(df: DataFrame, text: str, k: int, wanted: np.ndarray) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHash(), set()
-        for b in batches:
+        for b in parts_of(batches):
             ids, arrays = [], []
             for t in texts_of(b.column(0)):
                 s = shingle_set(t, k, words)

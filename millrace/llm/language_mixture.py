@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import parts_of, texts_of
 
 BUCKETS = 1 << 17
 BLOCK = 1 << 20
@@ -140,7 +140,7 @@ def fit(train: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), BUCKETS), np.int64)
-        for b in batches:
+        for b in parts_of(batches):
             for k, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 for block in blocks_of(t):
                     total[index[k]] += np.bincount(trigrams(block)[0], minlength=BUCKETS)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import staged, texts_of
+from .common import parts_of, staged, texts_of
 
 
 @functools.cache
@@ -65,7 +65,7 @@ def pieces(df: DataFrame, path: str, pattern: str, *, capacity: int = 2048, end_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
+        for b in parts_of(batches):
             out: list[tuple] = []
             for k, t in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
                 ids = np.append(token_ids(path, pattern, t) if t else np.zeros(0, "<u4"), np.array(end_id, "<u4")).astype("<u4")

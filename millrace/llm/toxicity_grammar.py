@@ -118,7 +118,7 @@ class ToxicityModel:
     curve: tuple[float, ...] = (-30.0, 0.0, 0.0, 0.0)
     machine: Transducer = field(default_factory=grammar)
     threats: dict[str, float] = field(default_factory=dict)
-    most: int = 400_000  # words remembered between texts
+    most: int = 100_000  # words remembered between texts
 
     def __post_init__(self) -> None:
         self.next, self.out = self.machine.tables()
