@@ -85,8 +85,12 @@ def tile_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parity bitmap: bit ``h mod size`` flips with each element; the size is a power of two near half the set's, 256 at least."""
-    bits = max(256, 1 << max(0, (len(s) // 2 - 1)).bit_length())
+    """Parity bitmap: bit ``h mod size`` flips with each element; the size is a power of two, twice to four times the set's, 256 at least.
+
+    With fewer bits than elements the bitmaps of unrelated sets differ in hardly more places than
+    a threshold of 0.8 allows, and the bound would tell nothing.
+    """
+    bits = max(256, 2 << max(0, len(s) - 1).bit_length())
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
