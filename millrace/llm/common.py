@@ -13,6 +13,7 @@ Conventions that hold for every operator of this subpackage:
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -28,6 +29,7 @@ BLANKS = " \t\n\x0b\f\r"
 BLANK_RE = r"[\x20\x09-\x0D]"
 
 _OWN: dict[str, str] = {}
+_SCOPE = ["operators"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,14 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/millrace/{df.sparkSession.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_scratch(df.sparkSession, _SCOPE[-1])}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Remove what :func:`staged` has written for this application, once its results have been used."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}")
+def _scratch(spark: SparkSession, scope: str) -> str:
+    return f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}/{scope}"
+
+
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables staged inside go to a folder of that name, which :func:`clear` can remove."""
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
+def clear(spark: SparkSession, name: str) -> None:
+    """Remove what was staged in a scope, once all that reads it has been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark, name))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

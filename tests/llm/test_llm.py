@@ -479,3 +479,50 @@ def test_search(spark):
         assert len(got[q]) == 5 and all(abs(x - s[np.flatnonzero(ids == i)[0]]) < 1e-12 for i, x in got[q])
     assert set(got) == {int(i) for i in ids if i % 50 == 0} and hit / total > 0.97
     assert one_bit_search.nearest(df.where("false")).count() == 0
+
+
+def test_pipeline_filters_and_packing(spark, tmp_path):
+    """The filters keep and drop what a language and toxicity label say; packing holds every token of what is left once."""
+    import corpus_pipeline
+
+    rows = [(i, prose(1200 + i, 60, "fr" if i % 3 == 0 else "en") + (" you fool go." if i % 5 == 0 else ""), "fr" if i % 3 == 0 else "en", "s", 0) for i in range(150)]
+    rows += [(500, "12 34 ;;", None, "s", 0), (501, "", "en", "s", 0), (None, prose(1500, 50), None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter([*range(150), None])
+    clean = corpus_pipeline.toxicity(spark, kept, str(tmp_path))
+    assert collections.Counter(r.doc_id for r in clean.collect()) == collections.Counter([i for i in range(150) if i % 5] + [None])
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    packed = corpus_pipeline.sequences(spark, clean, str(tmp_path)).toPandas()
+    assert packed.groupby("sequence_id").length.sum().max() <= 2048
+    assert packed.length.sum() == sum(len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in clean.collect())
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = spark.createDataFrame(stage(spark, empty, str(tmp_path)).collect(), docs.schema) if stage is not corpus_pipeline.sequences else stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0
+
+
+def test_added_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for text in ("see <|endoftext|> here", "<|endoftext|><|endoftext|>x", " <|endoftext|>\n", "<|endof", "plain"):
+        assert packing.token_ids(P.path("byte_bpe_50k.json"), P.PATTERN, text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_language_mixtures(spark):
+    """Two halves in two languages give both, with shares near a half; the shares are where EM over the words' likelihoods ends."""
+    train = spark.createDataFrame([(i, prose(1600 + i, 80, "fr" if i % 2 else "en"), "fr" if i % 2 else "en") for i in range(40)], "doc_id long, text string, lang string")
+    model = language_mixture.fit(train)
+    text = f"{prose(1700, 120, 'en')} {prose(1701, 120, 'fr')}"
+    got = language_mixture.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert set(got.langs) == {"en", "fr"} and abs(got.score - 0.5) < 0.1
+    like = np.exp(model.word_scores(text) - model.word_scores(text).max(axis=1, keepdims=True))
+    pi = np.array([0.5, 0.5])
+    for _ in range(200):
+        pi = (like * pi / (like * pi).sum(axis=1, keepdims=True)).mean(axis=0)
+    assert np.allclose(dict(zip(got.langs, got.shares, strict=True))["en"], pi[model.langs.index("en")], atol=0.01)
