@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard_join, language_mixture, packing, passage_chains, toxicity_grammar
-from millrace.llm.common import crc_fold, staged
+from millrace.llm.common import clear, crc_fold, scope, staged
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -43,15 +43,18 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first row of each class of near copies (five words, 0.8): the one of least id, a null id after all others."""
-    rows = numbered(docs)
-    classes = jaccard_join.jaccard_components(rows, key="_m_row", k=5, percent=80, with_links=False)
+    with scope("near_duplicates"):
+        rows = numbered(docs)
+        classes = jaccard_join.jaccard_components(rows, key="_m_row", k=5, percent=80, with_links=False)
     return rows.join(classes.where("_m_row = component_id").select("_m_row"), "_m_row", "left_semi").select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that an earlier row holds out of later ones; a text of which nothing is left goes."""
-    rows = numbered(docs)
-    spans = passage_chains.repeated_passages(rows, key="_m_row")
+    with scope("passages"):
+        rows = numbered(docs)
+        clear(spark, "near_duplicates")  # its result has been copied
+        spans = passage_chains.repeated_passages(rows, key="_m_row")
     cut = passage_chains.cut_passages(rows, spans, key="_m_row")
     left = cut.where(F.col("text").isNull() | (F.length(F.trim("text")) > 0) | (F.col("n_chars") == 0))
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
@@ -61,7 +64,10 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack all that is left."""
     import public_tokenizers
 
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
+    with scope("packing"):
+        pieces = staged(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), "pieces")
+        clear(spark, "passages")  # its result has been read
+        return packing.pack(pieces)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -72,7 +78,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", sequences),
 ]
 
-#: No stage but the filters could be written in SQL; tests compare the stages with brute force.
+#: No stage could be written in SQL; tests compare them with brute force.
 ORACLE_SQL = None
 
 
