@@ -132,10 +132,10 @@ def molecule_carbon_bridge(spark, d):
 
 
 @query(f"""{FACTS}, b AS (SELECT atom0, atom1, avg(len) AS len, avg(energy) AS energy FROM bonds GROUP BY ALL), r AS (SELECT t.id, p.distance, p.distance / b.len AS f, b.len, b.energy FROM {TARGETS} t JOIN pairs p ON p.mol = t.mol AND p.a0 = t.a0 AND p.a1 = t.a1 LEFT JOIN b USING (atom0, atom1))
-SELECT id, round(f, 6) AS length_ratio, round(distance - len, 6) + 0.0 AS length_gap, {", ".join(f"round(energy / nullif(pow(f, {k}), 0), 4) AS energy_{k}" for k in (1, 2))} FROM r""")
+SELECT id, round(f, 9) AS length_ratio, round(distance - len, 9) + 0.0 AS length_gap, {", ".join(f"round(energy / nullif(pow(f, {k}), 0), 4) AS energy_{k}" for k in (1, 2))} FROM r""")
 def molecule_bond_deviation(spark, d):
     out = pairs.bond_deviation(target_pairs(spark, d), atoms(spark, d)).drop("energy_4", "energy_6")
-    return rounded(rounded(out, "length_ratio", "length_gap", digits=6), "energy_1", "energy_2", digits=4)
+    return rounded(rounded(out, "length_ratio", "length_gap", digits=9), "energy_1", "energy_2", digits=4)
 
 
 @query("""SELECT e.mol, e.a0, e.a1, e.bond_type, round(b.len, 5) AS standard_length, round(b.energy, 3) AS standard_energy FROM edges e JOIN atoms p ON p.mol = e.mol AND p.ai = e.a0 JOIN atoms q ON q.mol = e.mol AND q.ai = e.a1

@@ -14,70 +14,112 @@ def rows(df, *columns):
     return [tuple(r) for r in df.select(*columns).collect()]
 
 
+def panel_rows(seed: int, n: int = 160):
+    """Distinct (month, shop, item) with a count and a price, by month; some counts are 0."""
+    r = np.random.default_rng(seed)
+    keys = sorted({(int(m), int(s), int(i)) for m, s, i in zip(r.integers(3, 15, n), r.integers(0, 3, n), r.integers(0, 5, n), strict=True)})
+    return [(k, *key, float(r.integers(0, 6)), float(r.integers(5, 90))) for k, key in enumerate(keys)]
+
+
+PANEL = "row_id long, month int, shop_id int, item_id int, cnt double, price double"
+
+
 def test_trailing_stats(spark):
-    data = [(11, 0, 1, 1), (12, 0, 1, 2), (13, 0, 1, 1), (14, 0, 1, 1), (15, 0, 1, 1), (16, 0, 1, 5), (20, 0, 1, 2), (33, 0, 1, 1), (12, 0, 2, 1), (13, 0, 2, 2), (12, 1, 1, 1), (13, 1, 1, 5), (14, 1, 1, 5)]
-    df = spark.createDataFrame([(i, *r[:3], float(r[3])) for i, r in enumerate(data)], "row_id int, month int, shop_id int, item_id int, cnt double")
-    out = panel.trailing_stats(df, 4, (1.0,)).orderBy("row_id")
-    want = [(0, 0, 0, 0), (1, 1, 1, 1), (3, 1, 2, 2), (4, 1, 2, 2), (5, 1, 2, 2), (5, 1, 2, 2), (5, 5, 5, 5), (0, 0, 0, 0), (0, 0, 0, 0), (1, 1, 1, 1), (0, 0, 0, 0), (1, 1, 1, 1), (6, 1, 5, 5)]
-    assert rows(out, "cnt_4m_sum", "cnt_4m_min", "cnt_4m_max", "cnt_4m_q1") == want
+    data = panel_rows(1)
+    out = panel.trailing_stats(spark.createDataFrame(data, PANEL), 4, (1.0,)).collect()
+    assert len(out) == len(data)
+    for r in out:
+        past = [c for _, m, s, i, c, _ in data if (s, i) == (r.shop_id, r.item_id) and r.month - 4 <= m < r.month]
+        assert (r.cnt_4m_sum, r.cnt_4m_min, r.cnt_4m_max, r.cnt_4m_q1) == (sum(past), min(past, default=0), max(past, default=0), max(past, default=0))
 
 
 def test_expanding_mean(spark):
-    data = [(13, 0, 0, 0, 1), (13, 0, 1, 0, 2), (13, 0, 2, 1, 3), (13, 1, 0, 0, 4), (14, 1, 1, 0, 5), (14, 2, 0, 0, 6), (14, 3, 2, 1, 7), (15, 3, 2, 1, 3)]
-    df = spark.createDataFrame([(i, *r[:4], float(r[4])) for i, r in enumerate(data)], "row_id int, month int, shop_id int, item_id int, category_id int, cnt double")
-    out = panel.expanding_mean(panel.expanding_mean(df, ["item_id"]), ["category_id"]).orderBy("row_id")
-    assert [r[0] for r in rows(out, "item_id_mean")] == [-10, -10, -10, -10, 2, 2.5, 3, 5]
-    assert [r[0] for r in rows(out, "category_id_mean")] == pytest.approx([-10] * 4 + [7 / 3, 7 / 3, 3, 5])
+    data = panel_rows(2)
+    for r in panel.expanding_mean(spark.createDataFrame(data, PANEL), ["item_id"]).collect():
+        by_month = {}
+        for _, m, _, i, c, _ in data:
+            if i == r.item_id and m < r.month:
+                by_month.setdefault(m, []).append(c)
+        assert r.item_id_mean == pytest.approx(np.mean([np.mean(v) for v in by_month.values()]) if by_month else -10)
 
 
 def test_densify(spark):
-    data = [(10, 0, 0, 12.5, 3), (10, 0, 1, 100, 1), (10, 1, 1, 100, 1), (11, 0, 0, 20, 2), (11, 0, 1, 100, 1), (11, 0, 2, 1000, 1), (11, 1, 0, 20, 5), (11, 1, 1, 100, 2)]
-    df = spark.createDataFrame([(m, s, i, float(p), float(c), k) for k, (m, s, i, p, c) in enumerate(data)], "month int, shop_id int, item_id int, price double, cnt double, row_id long")
-    out = panel.densify(df)
-    assert {r["month"]: r["count"] for r in out.groupBy("month").count().collect()} == {10: 4, 11: 6}
-    new = out.where("is_new").orderBy("row_id").collect()
-    assert [(r.month, r.shop_id, r.item_id, r.price, r.cnt, r.row_id) for r in new] == [(10, 1, 0, 12.5, 0.0, 8), (11, 1, 2, 1000.0, 0.0, 9)]
+    data = panel_rows(3)
+    out = panel.densify(spark.createDataFrame(data, PANEL)).collect()
+    shops, items = ({(m, x[at]) for x in data for m in [x[1]]} for at in (2, 3))
+    want = {(m, s, i) for m, s in shops for n, i in items if m == n}
+    assert {(r.month, r.shop_id, r.item_id) for r in out} == want and len(out) == len(want)
+    new = sorted((r for r in out if r.is_new), key=lambda r: (r.month, r.shop_id, r.item_id))
+    assert [r.row_id for r in new] == list(range(len(data), len(want)))
+    for r in new:
+        assert r.cnt == 0 and r.price == np.median([x[5] for x in data if (x[1], x[3]) == (r.month, r.item_id)])
 
 
 def test_price_features(spark):
-    data = [(13, 0, 0, 100, 0), (13, 0, 1, 200, 2), (13, 1, 1, 160, 5), (13, 0, 2, 300, 3), (13, 1, 0, 150, 4), (14, 0, 0, 160, 1), (14, 1, 1, 180, 5), (14, 2, 0, 100, 6), (14, 3, 2, 250, 7), (14, 2, 1, 180, 5), (15, 1, 0, 0, 0), (15, 2, 0, 0, 0)]
-    df = spark.createDataFrame([(i, m, s, t, float(p), float(c)) for i, (m, s, t, p, c) in enumerate(data)], "row_id int, month int, shop_id int, item_id int, price double, cnt double")
-    out = rows(panel.price_features(df.drop("price", "cnt"), df).orderBy("row_id"), "price_avg", "price_std", "price_last")
-    assert out[:5] == [(-10.0, -10.0, -10.0)] * 5
-    s, t = float(np.std([200, 160], ddof=1)), float(np.std([100, 160], ddof=1))
-    want = [(150, 0, 150), (180, s, 160), (150, 0, 150), (300, 0, 300), (180, s, 180), (130, t, 130), (130, t, 100)]
-    assert np.allclose(out[5:], want)
+    data = panel_rows(4)
+    df = spark.createDataFrame(data, PANEL)
+    for r in panel.price_features(df.drop("price", "cnt"), df).collect():
+        past = [x for x in data if x[3] == r.item_id and x[1] < r.month and x[4] > 0]
+        last = [x[5] for x in past if x[1] == max(y[1] for y in past)]
+        own = [x[5] for x in past if x[1] == r.month - 1 and x[2] == r.shop_id]
+        mean, std = (np.mean(last), np.std(last, ddof=1) if len(last) > 1 else 0.0) if last else (-10, -10)
+        assert (r.price_avg, r.price_std, r.price_last) == pytest.approx((mean, std, own[0] if own else mean))
 
 
 def test_ages(spark):
-    m = spark.createDataFrame([(0, i) for i in range(1, 10)], "item_id int, month int")
-    trades = spark.createDataFrame([(0, 1, 1.0), (0, 3, 1.0), (0, 7, 1.0)], "item_id int, month int, cnt double")
-    got = panel.last_traded_age(m, trades, ["item_id"]).orderBy("month")
-    assert [r[0] for r in rows(got, "age")] == [-10, 1, 2, 1, 2, 3, 4, 1, 2]
-    old = panel.last_traded_age(m.where("month <= 8"), trades, ["item_id"], compat=True).orderBy("month")
-    assert [r[0] for r in rows(old, "age")] == [-10, -10, 2, 3, 4, 5, 4, 1]
+    months = spark.createDataFrame([(0, i) for i in range(2, 14)], "item_id int, month int")
+    at = [3, 4, 8, 12]
+    trades = spark.createDataFrame([(0, m, 2.0) for m in at], "item_id int, month int, cnt double")
+    got = rows(panel.last_traded_age(months, trades, ["item_id"]).orderBy("month"), "month", "age")
+    assert got == [(m, m - max(x for x in at if x < m) if min(at) < m else -10) for m in range(2, 14)]
+    # as callers of old expect: between trades, from the trade before the last
+    old = dict(rows(panel.last_traded_age(months, trades, ["item_id"], compat=True), "month", "age"))
+    assert old == {2: -10, 3: -10, **{m: m - 3 for m in range(4, 8)}, **{m: m - 4 for m in range(8, 12)}, 12: 4, 13: 1}
 
 
 def test_activity_split_and_lag(spark):
-    df = spark.createDataFrame([(1, 1), (2, 1), (2, 2), (3, 5), (3, 4)], "item_id int, month int")
-    assert [sorted(r[0] for r in panel.active_in_month(df, "item_id", m).collect()) for m in range(1, 6)] == [[1, 2], [2], [], [3], [3]]
-    x = spark.createDataFrame([(1, 1, 32, 1), (1, 2, 33, 2), (1, 2, 33, 3), (1, 1, 33, 4)], "shop_id int, item_id int, month int, row_id int")
-    assert sorted(rows(panel.time_split(x), "row_id", "part")) == [(1, "train"), (2, "val"), (4, "val")]
-    lag = panel.month_lag(spark.createDataFrame([(0, 0, 1, 5.0), (0, 0, 3, 6.0), (0, 0, 4, 7.0)], "shop_id int, item_id int, month int, cnt double"), "cnt", 1).orderBy("month")
-    assert [r[0] for r in rows(lag, "cnt_lag1")] == [-10, -10, 6]
-    d = spark.sql("select date'2015-10-15' d union all select date'2013-01-01'")
-    assert sorted(r[0] for r in d.select(month_ordinal(F.col("d"), 2013)).collect()) == [0, 33]
-
-
-def test_peaks_and_corona(spark):
-    at = lambda v: spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(v)], "signal_id int, t int, value double")
-    found = signals.peaks(at([1, 20, 2, -20, 3, 1, -30, 0, 0, 9, 1, 3]), 8.0).orderBy("t")
-    assert rows(found, "t", "sign") == [(1, 1), (3, -1), (6, -1), (9, 1)]
-    pairs = signals.corona_pairs(signals.peaks(at([1, 14, 2, -15, 3, 1, -26, 1, 24, 1, 3]), 8.0), distance=5, ratio=0.4)
-    assert sorted(rows(pairs, "start", "end")) == [(1, 3), (6, 8)]
-    v = [1, 14, 2, -15, 3, 1, 4, 5, -26, 1, 5, 30, 1]
-    out = [r[0] for r in rows(signals.remove_corona(at(v), threshold=8.0, distance=3, ratio=0.5, cleanup=2).orderBy("t"), "value")]
-    assert out == [1, 1, 1, 1, 1, *v[5:]]
+    df = spark.createDataFrame([(7, 2), (7, 6), (8, 4), (9, 5), (9, 9)], "item_id int, month int")
+    for m in range(1, 11):
+        assert sorted(r[0] for r in panel.active_in_month(df, "item_id", m).collect()) == [i for i, lo, hi in ((7, 2, 6), (8, 4, 4), (9, 5, 9)) if lo <= m <= hi]
+    x = spark.createDataFrame([(4, 9, 20, 10), (4, 9, 20, 11), (5, 9, 20, 12), (4, 9, 18, 13)], "shop_id int, item_id int, month int, row_id int")
+    assert sorted(rows(panel.time_split(x), "row_id", "part")) == [(10, "val"), (12, "val"), (13, "train")]
+    data = panel_rows(5)
+    count = {x[1:4]: x[4] for x in data}
+    for r in panel.month_lag(spark.createDataFrame(data, PANEL), "cnt", 2).collect():
+        assert r.cnt_lag2 == count.get((r.month - 2, r.shop_id, r.item_id), -10)
+    d = spark.sql("select date'2013-12-31' d union all select date'2014-02-01'")
+    assert sorted(r[0] for r in d.select(month_ordinal(F.col("d"), 2013)).collect()) == [11, 13]
+
+
+def test_peaks(spark):
+    r = np.random.default_rng(6)
+    for _ in range(20):
+        x = r.integers(-20, 20, 80).astype(float)
+        at, height, width = signals.find_peaks(x, 5.0)
+        want = []
+        i = 1
+        while i < len(x) - 1:
+            j = i
+            while j + 1 < len(x) and x[j + 1] == x[i]:
+                j += 1
+            if j + 1 < len(x) and x[i - 1] < x[i] > x[j + 1]:
+                p = (i + j) // 2
+                if min(x[p] - x[p - 1], x[p] - x[p + 1]) >= 5:
+                    lo = max([k for k in range(p) if x[k] > x[p]], default=-1)
+                    hi = min([k for k in range(p + 1, len(x)) if x[k] > x[p]], default=len(x))
+                    want.append((p, x[p] - max(x[lo + 1 : p + 1].min(), x[p:hi].min())))
+            i = j + 1
+        assert list(zip(at.tolist(), height.tolist(), strict=True)) == want and (width > 0).all()
+
+
+def test_corona(spark):
+    v = [0, 2, 22, 1, -21, 0, 3, 1, 2, 30, 2, 1, 2, -9, 2]
+    df = spark.createDataFrame([(4, i, float(x)) for i, x in enumerate(v)], "signal_id int, t int, value double")
+    found = signals.peaks(df, 8.0).orderBy("t")
+    assert rows(found, "t", "sign") == [(2, 1), (4, -1), (9, 1), (13, -1)]
+    assert rows(signals.corona_pairs(found, distance=4, ratio=0.5), "start", "end") == [(2, 4)]
+    out = [r[0] for r in rows(signals.remove_corona(df, threshold=8.0, distance=4, ratio=0.5, cleanup=2).orderBy("t"), "value")]
+    assert out == pytest.approx([v[0], *np.linspace(2, 3, 5), *v[6:]])
 
 
 def test_scale_difference_and_steps(spark):
@@ -146,3 +188,70 @@ def test_frames(spark):
     assert a.columns == b.columns == ["a", "c", "b_a"]
     x = spark.createDataFrame([("r", "q", 1.0)], "a0 string, a1 string, x double")
     assert sorted(rows(frames.symmetric(x, "a0", "a1", ["x"]), "a0", "a1", "x")) == [("q", "r", -1.0), ("r", "q", 1.0)]
+
+
+def test_sources(spark, tmp_path):
+    from millrace.sources import tables
+
+    df = spark.createDataFrame([(i, f"a{i % 3}", i / 2) for i in range(50)], "k int, name string, v double")
+    tables.write_csv(df, f"{tmp_path}/c")
+    back = tables.csv(spark, f"{tmp_path}/c", "k int, name string, v double", parts=3)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect())) and back.rdd.getNumPartitions() == 3
+    tables.write(df, f"{tmp_path}/p", by=["name"])
+    tables.append(df, f"{tmp_path}/p", by=["name"])
+    assert spark.read.parquet(f"{tmp_path}/p").count() == 100
+    tables.write(df, tables.keyed_store(f"{tmp_path}/store", "x"))
+    assert tables.keyed(spark, f"{tmp_path}/store", "x").count() == 50
+    (tmp_path / "t").mkdir()
+    for f in range(3):
+        (tmp_path / "t" / f"{f}.txt").write_text("".join(f"{f} {i}\n" for i in range(200)))
+    got = tables.lines(spark, f"{tmp_path}/t").collect()
+    assert len(got) == 600 and all(r.value == f"{r.file[-5]} {r.line_no}" for r in got)
+    assert [r.pos for r in tables.numbered(df.repartition(4), first=1).orderBy("pos").collect()] == list(range(1, 51))
+    wide = spark.createDataFrame([(t, t * 1.0, t * 2.0, t * 3.0) for t in range(4)], "t int, `0` double, `1` double, `2` double")
+    wide.write.parquet(f"{tmp_path}/w")
+    long = tables.wide_signals(spark, f"{tmp_path}/w", ["0", "2"])
+    assert sorted(map(tuple, long.collect())) == sorted((s, t, t * (s + 1.0)) for t in range(4) for s in (0, 2))
+
+
+def test_models(spark, tmp_path):
+    r = np.random.default_rng(7)
+    x = r.standard_normal((120, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), float(2 * a), float(b - 1), "k" if i % 2 else "m") for i, (a, b) in enumerate(x)], "row_id int, a double, b double, y1 double, y2 double, kind string")
+    models = evaluation.fit_contributions(df, ["a", "b"], ["y1", "y2"])
+    out = evaluation.summed_contributions(models, df, ["a", "b"]).collect()
+    assert all(abs(r.prediction - (2 * r.a + r.b - 1)) < 1e-4 for r in out)
+    evaluation.save_model(models["y1"], f"{tmp_path}/m")
+    assert np.allclose(evaluation.load_model(f"{tmp_path}/m").coefficients.toArray(), models["y1"].coefficients.toArray())
+    assert evaluation.drop_unhelpful(df, ["a", "b", "kind"], lambda _, cs: 1.0 * ("a" in cs) + 0.5 * ("b" in cs)) == ["a", "b"]
+    trees = evaluation.fit_by_type(df, "kind", ["a", "b"], "y1", maxIter=2)
+    assert set(trees) == {"k", "m"}
+    assert evaluation.adversarial_auc(df.where("a < 0"), df.where("a >= 0"), ["a"], maxIter=2) > 0.9
+    assert evaluation.rolling_origin(df.withColumn("month", F.col("row_id") % 6), [2, 3], lambda a, b: float(a.count() - b.count())) == [(2, 20.0), (3, 40.0)]
+    said = []
+    assert evaluation.timed("step", said.append)(lambda: 5)() == 5 and said[0].startswith("step: ")
+    cells = spark.createDataFrame([(i, j, 9.0 if (i < 4) == (j < 3) else 0.1) for i in range(8) for j in range(6)], "i int, j int, v double")
+    left, right = evaluation.biclusters(cells, "i", "j", "v", 2)
+    assert left[0] == left[3] != left[4] == left[7] and right[0] == right[2] == left[0] and right[3] == left[4]
+
+
+def test_frames_with_errors(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 7.0), (3, None)], "k int, v double")
+    with pytest.raises(Exception, match="out of range"):
+        frames.checked(df, "v", 0, 10).collect()
+    with pytest.raises(ValueError, match="missing"):
+        frames.without(df, ["x"])
+    many = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"))
+    assert [r.n for r in frames.numbered(many, ["x"], "n").orderBy("x").collect()] == list(range(1000))
+    steps = spark.range(60).select(F.col("id").alias("t"), (F.col("id") * 1.0).alias("v"))
+    got = signals.sliding_steps(steps, 4, ["v"], order="t", block=7).orderBy("t").collect()
+    assert [(r.t, [x[0] for x in r.steps]) for r in got] == [(t, [float(t - 3 + i) for i in range(4)]) for t in range(3, 60)]
+
+
+def test_rings_and_bond_codes(spark):
+    ring = [(0, i, (i + 1) % 6, 1.5) for i in range(6)]
+    e = spark.createDataFrame(ring + [(m, b, a, t) for m, a, b, t in ring], "mol long, a0 long, a1 long, bond_type double")
+    found = molecules.aromatic_atoms(molecules.cycles(e), e)
+    assert sorted((r.ai, r.rings) for r in found.collect()) == [(i, 1) for i in range(6)]
+    code = spark.range(1).select(*[molecules.bond_code(F.lit(a), F.lit(b)).alias(a + b) for a in "CFHNO" for b in "CFHNO" if a <= b]).first()
+    assert list(code) == list(range(15))
