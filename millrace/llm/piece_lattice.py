@@ -31,10 +31,12 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, texts_of
+from .common import parts_of, staged, texts_of
 
 MARK = "▁"
 LONG = 61
@@ -152,9 +154,8 @@ class PieceModel:
             hit = np.flatnonzero((room[: len(h)] >= n) & self.bitmaps[0][n][_slots(h)])
             at.append(hit)
             size.append(np.full(len(hit), n))
-        at, size = np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(size or [np.zeros(0, np.int64)])
-        order = np.argsort(at, kind="stable")
-        at, size = at[order], size[order]
+        packed = np.sort((np.concatenate(at) << 8) | np.concatenate(size)) if at else np.zeros(0, np.int64)
+        at, size = packed >> 8, packed & 255
         return owner[at], place[at], size
 
     def single(self, char: str) -> list[int]:
@@ -166,29 +167,47 @@ class PieceModel:
         parts = _merged(unit, self.table) if self.kind == "bpe" else _best_path(unit, self.table, self.longest)
         return [i for p in parts for i in ([self.table[p][0]] if p in self.table else self.single(p))]
 
+    @functools.cached_property
+    def ranks(self) -> dict[float, int]:
+        """Place of each score, the greatest first."""
+        return {s: r for r, s in enumerate(sorted({s for _, _, s in self.rows}, reverse=True))}
+
+    @functools.cached_property
+    def scores(self) -> np.ndarray:
+        """Score by rank; a last one for characters without a piece."""
+        return np.array([*self.ranks, UNKNOWN])
+
     @functools.cached_property
     def width(self) -> str:
         """Type of the numbers that ids travel as."""
         return "<u2" if max(max((i for _, i, _ in self.rows), default=0), self.byte0 + 255) < 1 << 16 else "<u4"
 
-    def spelt(self, unit: str, chosen: list[dict] | None, whole: list[int] | None) -> bytes:
-        """The unit's ids as little-endian numbers of :attr:`width`, from its chosen edges."""
-        if whole is not None:
-            return np.array(whole, self.width).tobytes()
-        if not chosen:
-            ids = [i for c in unit for i in self.single(c)]
-        else:
-            ids, at = [], 0
-            for ends, i in sorted(((e["ends"] & -e["ends"], e["ends"].bit_length() - 1), e["id"]) for e in chosen):
-                s, e = ends[0].bit_length() - 1, ends[1]
-                while at < s:
-                    ids += self.single(unit[at])
-                    at += 1
-                ids.append(i)
-                at = e
-            for c in unit[at:]:
-                ids += self.single(c)
-        return np.array(ids, self.width).tobytes()
+    def spelt(self, units: list[str], masks: np.ndarray) -> list[bytes]:
+        """Each unit's ids as little-endian numbers of :attr:`width`, from the bitmap of its borders; 0 for a unit too long."""
+        bits = np.unpackbits(masks.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        owner, place = np.nonzero(bits)
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        at = (np.cumsum(length) - length)[owner] + place
+        inside = owner[1:] == owner[:-1]
+        whole = "".join(units)
+        parts = [whole[a:b] for a, b in zip(at[:-1][inside].tolist(), at[1:][inside].tolist(), strict=True)]
+        pieces = self.pieces
+        ids = np.fromiter((pieces.get(p, -1) for p in parts), np.int64, len(parts))
+        owner = owner[1:][inside]
+        if len(odd := np.flatnonzero(ids < 0)):
+            said = [parts[i].encode("utf-8", "surrogatepass") for i in odd.tolist()]
+            count = np.ones(len(ids), np.int64)
+            count[odd] = [len(x) for x in said]
+            ids, owner, spread = np.repeat(ids, count), np.repeat(owner, count), np.repeat(ids < 0, count)
+            ids[spread] = np.frombuffer(b"".join(said), np.uint8).astype(np.int64) + self.byte0
+        data = ids.astype(self.width).tobytes()
+        step = np.dtype(self.width).itemsize
+        cuts = (np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(units)))]) * step).tolist()
+        return [data[a:b] if m else np.array(self.whole_ids(u), self.width).tobytes() for a, b, m, u in zip(cuts[:-1], cuts[1:], masks.tolist(), units, strict=True)]
+
+    @functools.cached_property
+    def pieces(self) -> dict[str, int]:
+        return {p: i for p, i, _ in self.rows}
 
     @functools.cached_property
     def sounds(self) -> dict[int, bytes]:
@@ -272,38 +291,37 @@ def count_units(df: DataFrame, text: str, model: PieceModel, most: int = 200_000
 
 
 def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
-    return spark.createDataFrame(list(model.rows), "piece string, id int, score float")
+    return spark.createDataFrame([(p, i, model.ranks[s]) for p, i, s in model.rows], "piece string, id int, rank int")
 
 
 def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
-    """(unit, c, whole, edges): for each unit its lattice, edges ordered by score, then start.
+    """(unit, c, edges): for each unit its lattice; a unit too long for the bitmap has no edges.
 
-    The piece table (as large as the vocabulary, which the model fixes) is broadcast, so a unit's
-    rows stay next to each other and are grouped as they come; a row with the unit itself opens
-    each group. ``whole`` holds the ids of units too long for the bitmap.
+    Edges of a merge model are the bitmaps of their two ends, best priority first, then leftmost;
+    of a unigram model (start, length, score). The piece table (as large as the vocabulary, which
+    the model fixes) is broadcast, so a unit's rows stay next to each other and are grouped as they
+    come; a row with the unit itself opens each group.
     """
     spark = units.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            for at in range(0, len(b), 2000):
-                part = b.slice(at, 2000)
-                words = part.column(0).to_pylist()
-                owner, start, size = m.spans([w if len(w) <= LONG else "" for w in words])
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
-                # the 0 that opens each unit's list is the row with the unit itself
-                packed = np.insert(start * 256 + size, cuts[:-1], 0)
-                lists = pa.ListArray.from_arrays(pa.array((cuts + np.arange(len(cuts))).astype(np.int32)), pa.array(packed.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["unit", "c", "spans"])
+        for part in parts_of(batches):
+            words = part.column(0).to_pylist()
+            owner, start, size = m.spans([w if len(w) <= LONG else "" for w in words])
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+            # the 0 that opens each unit's list is the row with the unit itself
+            packed = np.insert(start * 256 + size, cuts[:-1], 0)
+            lists = pa.ListArray.from_arrays(pa.array((cuts + np.arange(len(cuts))).astype(np.int32)), pa.array(packed.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["unit", "c", "spans"])
 
     rows = units.select("unit", "c").mapInArrow(explode, "unit string, c bigint, spans array<int>")
     rows = rows.select("unit", "c", F.explode("spans").alias("e")).select("unit", "c", "e", F.expr("substring(unit, shiftright(e, 8) + 1, e & 255)").alias("piece"))
-    joined = rows.join(F.broadcast(piece_table(spark, model)), "piece", "left").where("e = 0 or id is not null or (e & 255) = 1")
+    joined = rows.join(F.broadcast(piece_table(spark, model)), "piece", "left").where("e = 0 or rank is not null or (e & 255) = 1")
     first = F.col("e") == 0
     # empty and not null: batches with null strings take far longer to make
-    joined = joined.select(F.when(first, F.col("unit")).otherwise("").alias("unit"), F.when(first, F.col("c")).otherwise(0).alias("c"), "e", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
+    joined = joined.select(F.when(first, F.col("unit")).otherwise("").alias("unit"), F.when(first, F.col("c")).otherwise(0).alias("c"), "e", F.coalesce("rank", F.lit(-1)).alias("rank"))
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists(t: pa.Table) -> pa.RecordBatch:
@@ -312,18 +330,16 @@ def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
             owner = np.cumsum(opens) - 1
             heads = t.filter(pa.array(opens)).combine_chunks()
             keep = ~opens
-            s, n, i, score, owner = e[keep] >> 8, e[keep] & 255, t["id"].to_numpy()[keep], t["score"].to_numpy()[keep], owner[keep]
-            order = np.lexsort((s, -score, owner))
-            s, n, i, score, owner = s[order], n[order], i[order], score[order], owner[order]
-            low, high = np.int64(1) << s, np.int64(1) << (s + n)
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(heads)))]).astype(np.int32)
-            fields = {"ends": low | high, "inner": high - (low << 1), "id": i.astype(np.int32)}
+            owner, e, rank = owner[keep], e[keep], t["rank"].to_numpy()[keep].astype(np.int64)
+            cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(heads)))]).astype(np.int32))
             if m.kind == "unigram":
-                fields |= {"s": s.astype(np.int32), "n": n.astype(np.int32), "score": score.astype(np.float64)}
-            edges = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields)))
-            words = heads["unit"].combine_chunks()
-            whole = [m.whole_ids(w) if len(w) > LONG else None for w in words.to_pylist()]
-            return pa.RecordBatch.from_arrays([words, heads["c"].combine_chunks(), pa.array(whole, pa.list_(pa.int32())), edges], ["unit", "c", "whole", "edges"])
+                fields = {"s": (e >> 8).astype(np.int32), "n": (e & 255).astype(np.int32), "score": m.scores[rank]}
+                edges = pa.StructArray.from_arrays([pa.array(x) for x in fields.values()], list(fields))
+            else:
+                e = np.sort((owner << 38) | (rank << 14) | e) & 0x3FFF
+                low = np.int64(1) << (e >> 8)
+                edges = pa.array(low | (low << (e & 255)))
+            return pa.RecordBatch.from_arrays([heads["unit"].combine_chunks(), heads["c"].combine_chunks(), pa.ListArray.from_arrays(cuts, edges)], ["unit", "c", "edges"])
 
         m, held = shared.value, []
         for b in batches:
@@ -338,17 +354,17 @@ def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
         if held:
             yield lists(pa.Table.from_batches(held).combine_chunks())
 
-    more = ", s:int, n:int, score:double" if model.kind == "unigram" else ""
-    return joined.mapInArrow(group, f"unit string, c bigint, whole array<int>, edges array<struct<ends:bigint, inner:bigint, id:int{more}>>")
+    edge = "struct<s:int, n:int, score:double>" if model.kind == "unigram" else "bigint"
+    return joined.mapInArrow(group, f"unit string, c bigint, edges array<{edge}>")
 
 
 def merged_borders(edges: Column, length: Column) -> Column:
     """Fold for merge models: bitmap of borders left after all merges; ``edges`` come best priority first, then leftmost."""
     one = F.lit(1).cast("bigint")
 
-    def step(mask: Column, e: Column) -> Column:
-        inner = mask.bitwiseAND(e["inner"])
-        return F.when((mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(inner) == 1), mask - inner).otherwise(mask)
+    def step(mask: Column, ends: Column) -> Column:
+        inner = mask.bitwiseAND(ends - ends.bitwiseAND(-ends) * 3)  # the places between the two ends
+        return F.when((mask.bitwiseAND(ends) == ends) & (F.bit_count(inner) == 1), mask - inner).otherwise(mask)
 
     return F.aggregate(edges, F.call_function("shiftleft", one, length + 1) - one, step)
 
@@ -367,11 +383,18 @@ def viterbi_borders(edges: Column, length: Column) -> Column:
 
 
 def encode_units(units: DataFrame, model: PieceModel) -> DataFrame:
-    """(unit, c, whole, chosen): the edges of each unit's encoding, those that span no border left; see :meth:`PieceModel.spelt`."""
+    """(unit, c, ids): each unit's ids as :meth:`PieceModel.spelt` writes them, from the borders that its fold leaves."""
+    shared = units.sparkSession.sparkContext.broadcast(model)
     fold = merged_borders if model.kind == "bpe" else viterbi_borders
-    table = lattice(units, model).withColumn("_m_mask", F.when(F.col("whole").isNull(), fold(F.col("edges"), F.length("unit"))))
-    left = F.transform(F.filter("edges", lambda e: (F.col("_m_mask").bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"]) & (e["id"] >= 0)), lambda e: F.struct(e["ends"].alias("ends"), e["id"].alias("id")))
-    return table.select("unit", "c", "whole", left.alias("chosen"))
+    mask = F.when(F.length("unit") <= LONG, fold(F.col("edges"), F.length("unit"))).otherwise(0)
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in parts_of(batches):
+            ids = m.spelt(b.column(0).to_pylist(), b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["unit", "c", "ids"])
+
+    return lattice(units, model).select("unit", "c", mask.alias("mask")).mapInArrow(spell, "unit string, c bigint, ids binary")
 
 
 def encode_documents(df: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str = "text", head: int = 1 << 18) -> DataFrame:
@@ -385,35 +408,32 @@ def encode_documents(df: DataFrame, model: PieceModel, *, key: str = "doc_id", t
     shared = spark.sparkContext.broadcast(model)
     units = staged(encode_units(count_units(df, text, model), model), "units")
     top = units.orderBy(F.desc("c"), "unit").limit(head).toArrow()
-    known = spark.sparkContext.broadcast(dict(zip(top["unit"].to_pylist(), map(model.spelt, top["unit"].to_pylist(), top["chosen"].to_pylist(), top["whole"].to_pylist()), strict=True)))
+    known = spark.sparkContext.broadcast(dict(zip(top["unit"].to_pylist(), top["ids"].to_pylist(), strict=True)))
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("_m_key"), F.octet_length(body).alias("_m_size"), F.crc32(body).alias("_m_crc"), F.monotonically_increasing_id().alias("_m_row"), F.col(text).alias("_m_text"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, table = shared.value, known.value
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
-                ids, holes, rare = [], [], []
-                for t in part.column(4).to_pylist():
-                    words = m.units(t)
-                    got = [table.get(w) for w in words]
-                    if None in got:
-                        open_, of, n = [], [], 0
-                        for w, x in zip(words, got, strict=True):
-                            if x is None:
-                                open_.append(n)
-                                of.append(w)
-                            else:
-                                n += len(x)
-                        holes.append(open_)
-                        rare.append(of)
-                        got = [x for x in got if x is not None]
-                    else:
-                        holes.append([])
-                        rare.append([])
-                    ids.append(b"".join(got))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(ids, pa.binary()), pa.array(holes, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string()))], ["_m_key", "_m_size", "_m_crc", "_m_row", "ids", "holes", "rare"])
+        packer = zstandard.ZstdCompressor(level=3)
+        for part in parts_of(batches, 256):
+            ids, holes, rare = [], [], []
+            for t in part.column(4).to_pylist():
+                words = m.units(t)
+                got = list(map(table.get, words))
+                open_, of = [], []
+                if None in got:
+                    n = 0
+                    for w, x in zip(words, got, strict=True):
+                        if x is None:
+                            open_.append(n)
+                            of.append(w)
+                        else:
+                            n += len(x)
+                    got = [x for x in got if x is not None]
+                holes.append(open_)
+                rare.append(of)
+                ids.append(packer.compress(b"".join(got)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(ids, pa.binary()), pa.array(holes, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string()))], ["_m_key", "_m_size", "_m_crc", "_m_row", "ids", "holes", "rare"])
 
     kind = df.schema[key].dataType.simpleString()
     spread = rows.mapInArrow(spell, f"_m_key {kind}, _m_size int, _m_crc bigint, _m_row bigint, ids binary, holes array<int>, rare array<string>").repartition("_m_row")
@@ -421,40 +441,37 @@ def encode_documents(df: DataFrame, model: PieceModel, *, key: str = "doc_id", t
     # takes all columns, so that both readers of ``spread`` share one exchange
     def rare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, unit = [], []
-            for r, us in zip(b.column(3).to_pylist(), b.column(6).to_pylist(), strict=True):
-                us = set(us)
-                row += [r] * len(us)
-                unit += us
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(unit, pa.string())], ["_m_row", "unit"])
+            rare = b.column(6)
+            owner = pc.list_parent_indices(rare).to_numpy()
+            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(owner)), pa.array(place.astype(np.int32)), rare.flatten()], ["_m_row", "place", "unit"])
 
-    wanted = spread.mapInArrow(rare_units, "_m_row bigint, unit string").join(units.select("unit", "whole", "chosen"), "unit")
-    found = wanted.groupBy("_m_row").agg(F.collect_list(F.struct("unit", "whole", "chosen")).alias("_m_units"))
+    wanted = spread.mapInArrow(rare_units, "_m_row bigint, place int, unit string").join(units.select("unit", "ids"), "unit")
+    found = wanted.groupBy("_m_row").agg(F.collect_list(F.struct("place", "ids")).alias("_m_units"))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            for at in range(0, len(b), 128):
-                part = b.slice(at, 128)
-                out, n, total, crc, same = [], [], [], [], []
-                for size, check, ids, holes, rare, table in zip(*(part.column(c).to_pylist() for c in ("_m_size", "_m_crc", "ids", "holes", "rare", "_m_units")), strict=True):
-                    if rare:
-                        of = {u["unit"]: m.spelt(u["unit"], u["chosen"], u["whole"]) for u in table}
-                        parts, upto = [], 0
-                        for h, u in zip(holes, rare, strict=True):
-                            parts += (ids[upto:h], of[u])
-                            upto = h
-                        ids = b"".join([*parts, ids[upto:]])
-                    a = np.frombuffer(ids, m.width).astype("<u4")
-                    out.append(a.astype(np.int32))
-                    n.append(len(a))
-                    total.append(int(a.sum(dtype=np.int64)))
-                    crc.append(zlib.crc32(a.tobytes()))
-                    back = m.decode(a.tolist())
-                    same.append(len(back) == size and zlib.crc32(back) == check)
-                flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column("_m_key"), lists, *(pa.array(x, pa.int64()) for x in (n, total, crc)), pa.array(same, pa.bool_())], [key, "ids", "n_pieces", "id_sum", "ids_crc32", "decodes"])
+        m, unpacker = shared.value, zstandard.ZstdDecompressor()
+        for part in parts_of(batches, 128):
+            out, n, total, crc, same = [], [], [], [], []
+            for size, check, ids, holes, table in zip(*(part.column(c).to_pylist() for c in ("_m_size", "_m_crc", "ids", "holes", "_m_units")), strict=True):
+                ids = unpacker.decompress(ids)
+                if holes:
+                    of = {u["place"]: u["ids"] for u in table}
+                    parts, upto = [], 0
+                    for k, h in enumerate(holes):
+                        parts += (ids[upto:h], of[k])
+                        upto = h
+                    ids = b"".join([*parts, ids[upto:]])
+                a = np.frombuffer(ids, m.width).astype("<u4")
+                out.append(a.astype(np.int32))
+                n.append(len(a))
+                total.append(int(a.sum(dtype=np.int64)))
+                crc.append(zlib.crc32(a.tobytes()))
+                back = m.decode(a.tolist())
+                same.append(len(back) == size and zlib.crc32(back) == check)
+            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([part.column("_m_key"), lists, *(pa.array(x, pa.int64()) for x in (n, total, crc)), pa.array(same, pa.bool_())], [key, "ids", "n_pieces", "id_sum", "ids_crc32", "decodes"])
 
     whole = spread.join(found, "_m_row", "left").select("_m_key", "_m_size", "_m_crc", "ids", "holes", "rare", "_m_units")
     return whole.mapInArrow(fill, f"`{key}` {kind}, ids array<int>, n_pieces bigint, id_sum bigint, ids_crc32 bigint, decodes boolean")
