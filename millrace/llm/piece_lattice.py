@@ -10,8 +10,9 @@ model are merge priorities, whose best path is not the model's encoding; for it
 the edges by priority and merges where an edge spans exactly two current symbols, over a bitmap
 of borders. Characters that no edge covers are their own pieces, or byte pieces.
 
-Documents are then spelt with the ``head`` most frequent units, which are broadcast (a bounded
-table); the places of rarer units are left open and filled after a shuffle join by unit.
+The most frequent units (``head`` of them, a bounded table) are encoded first and broadcast; a
+document is spelt with them, and the lattice of its rarer units is made next to it, so that after
+the count of units no text and no id is shuffled.
 
 Defined cases: a null or empty text has no pieces; repeated rows encode alike, each with its
 own row; a unit of more than ``LONG`` characters doesn't fit the bitmap and is encoded whole in
@@ -31,8 +32,6 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -294,34 +293,29 @@ def piece_table(spark: SparkSession, model: PieceModel) -> DataFrame:
     return spark.createDataFrame([(p, i, model.ranks[s]) for p, i, s in model.rows], "piece string, id int, rank int")
 
 
-def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
-    """(unit, c, edges): for each unit its lattice; a unit too long for the bitmap has no edges.
+def _spans(model: PieceModel, units: list[str]) -> pa.ListArray:
+    """For each unit 0, which opens its list, and the spans (start * 256 + length) that can be pieces."""
+    owner, start, size = model.spans([u if len(u) <= LONG else "" for u in units])
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(units)))])
+    packed = np.insert(start * 256 + size, cuts[:-1], 0)
+    return pa.ListArray.from_arrays(pa.array((cuts + np.arange(len(cuts))).astype(np.int32)), pa.array(packed.astype(np.int32)))
+
+
+def lattice(rows: DataFrame, model: PieceModel, keep: str, kind: str) -> DataFrame:
+    """(keep, load, unit, edges) from rows (keep, load, unit, spans), in their order; a unit too long for the bitmap has no edges.
 
     Edges of a merge model are the bitmaps of their two ends, best priority first, then leftmost;
     of a unigram model (start, length, score). The piece table (as large as the vocabulary, which
     the model fixes) is broadcast, so a unit's rows stay next to each other and are grouped as they
-    come; a row with the unit itself opens each group.
+    come; a row with the unit itself and its binary ``load`` opens each group.
     """
-    spark = units.sparkSession
+    spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(model)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for part in parts_of(batches):
-            words = part.column(0).to_pylist()
-            owner, start, size = m.spans([w if len(w) <= LONG else "" for w in words])
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
-            # the 0 that opens each unit's list is the row with the unit itself
-            packed = np.insert(start * 256 + size, cuts[:-1], 0)
-            lists = pa.ListArray.from_arrays(pa.array((cuts + np.arange(len(cuts))).astype(np.int32)), pa.array(packed.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["unit", "c", "spans"])
-
-    rows = units.select("unit", "c").mapInArrow(explode, "unit string, c bigint, spans array<int>")
-    rows = rows.select("unit", "c", F.explode("spans").alias("e")).select("unit", "c", "e", F.expr("substring(unit, shiftright(e, 8) + 1, e & 255)").alias("piece"))
+    rows = rows.select(keep, "load", "unit", F.explode("spans").alias("e")).select(keep, "load", "unit", "e", F.expr("substring(unit, shiftright(e, 8) + 1, e & 255)").alias("piece"))
     joined = rows.join(F.broadcast(piece_table(spark, model)), "piece", "left").where("e = 0 or rank is not null or (e & 255) = 1")
     first = F.col("e") == 0
     # empty and not null: batches with null strings take far longer to make
-    joined = joined.select(F.when(first, F.col("unit")).otherwise("").alias("unit"), F.when(first, F.col("c")).otherwise(0).alias("c"), "e", F.coalesce("rank", F.lit(-1)).alias("rank"))
+    joined = joined.select(keep, F.when(first, F.col("load")).otherwise(F.lit("").cast("binary")).alias("load"), F.when(first, F.col("unit")).otherwise("").alias("unit"), "e", F.coalesce("rank", F.lit(-1)).alias("rank"))
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists(t: pa.Table) -> pa.RecordBatch:
@@ -329,8 +323,7 @@ def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
             opens = e == 0
             owner = np.cumsum(opens) - 1
             heads = t.filter(pa.array(opens)).combine_chunks()
-            keep = ~opens
-            owner, e, rank = owner[keep], e[keep], t["rank"].to_numpy()[keep].astype(np.int64)
+            owner, e, rank = owner[~opens], e[~opens], t["rank"].to_numpy()[~opens].astype(np.int64)
             cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(heads)))]).astype(np.int32))
             if m.kind == "unigram":
                 fields = {"s": (e >> 8).astype(np.int32), "n": (e & 255).astype(np.int32), "score": m.scores[rank]}
@@ -339,7 +332,7 @@ def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
                 e = np.sort((owner << 38) | (rank << 14) | e) & 0x3FFF
                 low = np.int64(1) << (e >> 8)
                 edges = pa.array(low | (low << (e & 255)))
-            return pa.RecordBatch.from_arrays([heads["unit"].combine_chunks(), heads["c"].combine_chunks(), pa.ListArray.from_arrays(cuts, edges)], ["unit", "c", "edges"])
+            return pa.RecordBatch.from_arrays([*(heads[c].combine_chunks() for c in (keep, "load", "unit")), pa.ListArray.from_arrays(cuts, edges)], [keep, "load", "unit", "edges"])
 
         m, held = shared.value, []
         for b in batches:
@@ -355,7 +348,7 @@ def lattice(units: DataFrame, model: PieceModel) -> DataFrame:
             yield lists(pa.Table.from_batches(held).combine_chunks())
 
     edge = "struct<s:int, n:int, score:double>" if model.kind == "unigram" else "bigint"
-    return joined.mapInArrow(group, f"unit string, c bigint, edges array<{edge}>")
+    return joined.mapInArrow(group, f"`{keep}` {kind}, load binary, unit string, edges array<{edge}>")
 
 
 def merged_borders(edges: Column, length: Column) -> Column:
@@ -382,96 +375,129 @@ def viterbi_borders(edges: Column, length: Column) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), length), start, step), -1)["mask"]
 
 
+def borders(rows: DataFrame, model: PieceModel, keep: str, kind: str) -> DataFrame:
+    """(keep, load, unit, mask): bitmap of the borders that the fold leaves; 1 for an empty unit, 0 for one too long."""
+    fold, n = merged_borders if model.kind == "bpe" else viterbi_borders, F.length("unit")
+    mask = F.when(n.between(1, LONG), fold(F.col("edges"), n)).when(n == 0, 1).otherwise(0)
+    return lattice(rows, model, keep, kind).select(keep, "load", "unit", mask.alias("mask"))
+
+
 def encode_units(units: DataFrame, model: PieceModel) -> DataFrame:
-    """(unit, c, ids): each unit's ids as :meth:`PieceModel.spelt` writes them, from the borders that its fold leaves."""
+    """(unit, ids): each unit's ids as :meth:`PieceModel.spelt` writes them."""
     shared = units.sparkSession.sparkContext.broadcast(model)
-    fold = merged_borders if model.kind == "bpe" else viterbi_borders
-    mask = F.when(F.length("unit") <= LONG, fold(F.col("edges"), F.length("unit"))).otherwise(0)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts_of(batches):
+            none = np.zeros(len(b), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(none), pa.array([b""] * len(b), pa.binary()), b.column(0), _spans(shared.value, b.column(0).to_pylist())], ["_m_key", "load", "unit", "spans"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in parts_of(batches):
-            ids = m.spelt(b.column(0).to_pylist(), b.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["unit", "c", "ids"])
+            ids = shared.value.spelt(b.column(2).to_pylist(), b.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(ids, pa.binary())], ["unit", "ids"])
+
+    rows = units.select("unit").mapInArrow(explode, "_m_key int, load binary, unit string, spans array<int>")
+    return borders(rows, model, "_m_key", "int").mapInArrow(spell, "unit string, ids binary")
 
-    return lattice(units, model).select("unit", "c", mask.alias("mask")).mapInArrow(spell, "unit string, c bigint, ids binary")
 
+def frequent_units(counts: DataFrame, head: int) -> DataFrame:
+    """Units above the least count that at most ``head`` units exceed; counts are told apart in steps of a sixteenth of a power of two."""
+    step = F.floor(F.log2("c") * 16).cast("int").alias("step")
+    sizes = dict(counts.groupBy(step).count().collect())  # at most 1,024 rows
+    least, held = max(sizes, default=0) + 1, 0
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > head:
+            break
+        least = k
+    return counts.where(step >= least).select("unit")
 
-def encode_documents(df: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str = "text", head: int = 1 << 18) -> DataFrame:
+
+def encode_documents(df: DataFrame, model: PieceModel, *, key: str = "doc_id", text: str = "text", head: int = 1 << 19) -> DataFrame:
     """(key, ids, n_pieces, id_sum, ids_crc32, decodes) of each whole text.
 
     ``ids_crc32`` is of the ids as little-endian 32-bit numbers; ``decodes`` tells whether the ids,
-    decoded again, give the text's UTF-8. Rows are told apart by a number of their own, so the
-    rows of ``df`` must come from a table that reads alike each time.
+    decoded again, give the text's UTF-8.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    units = staged(encode_units(count_units(df, text, model), model), "units")
-    top = units.orderBy(F.desc("c"), "unit").limit(head).toArrow()
+    counts = staged(count_units(df, text, model), "units")
+    top = encode_units(frequent_units(counts, head).repartition(64, "unit"), model).toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top["unit"].to_pylist(), top["ids"].to_pylist(), strict=True)))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key).alias("_m_key"), F.octet_length(body).alias("_m_size"), F.crc32(body).alias("_m_crc"), F.monotonically_increasing_id().alias("_m_row"), F.col(text).alias("_m_text"))
+    rows = df.select(F.col(key).alias("_m_key"), F.octet_length(body).cast("bigint").alias("_m_size"), F.crc32(body).alias("_m_crc"), F.col(text).alias("_m_text"))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, table = shared.value, known.value
-        packer = zstandard.ZstdCompressor(level=3)
         for part in parts_of(batches, 256):
-            ids, holes, rare = [], [], []
-            for t in part.column(4).to_pylist():
+            row, load, rare = [], [], []
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for at in range(0, len(row), 4096):
+                    to = at + 4096
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[at:to], pa.int32())), pa.array(load[at:to], pa.binary()), pa.array(rare[at:to], pa.string()), _spans(m, rare[at:to])], ["_m_key", "load", "unit", "spans"])
+                del row[:], load[:], rare[:]
+
+            for i, t in enumerate(texts_of(part.column(3))):
                 words = m.units(t)
                 got = list(map(table.get, words))
-                open_, of = [], []
+                holes, of = [], []
                 if None in got:
                     n = 0
                     for w, x in zip(words, got, strict=True):
                         if x is None:
-                            open_.append(n)
+                            holes.append(n)
                             of.append(w)
                         else:
                             n += len(x)
                     got = [x for x in got if x is not None]
-                holes.append(open_)
-                rare.append(of)
-                ids.append(packer.compress(b"".join(got)))
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(ids, pa.binary()), pa.array(holes, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string()))], ["_m_key", "_m_size", "_m_crc", "_m_row", "ids", "holes", "rare"])
-
-    kind = df.schema[key].dataType.simpleString()
-    spread = rows.mapInArrow(spell, f"_m_key {kind}, _m_size int, _m_crc bigint, _m_row bigint, ids binary, holes array<int>, rare array<string>").repartition("_m_row")
-
-    # takes all columns, so that both readers of ``spread`` share one exchange
-    def rare_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rare = b.column(6)
-            owner = pc.list_parent_indices(rare).to_numpy()
-            place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-            yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(owner)), pa.array(place.astype(np.int32)), rare.flatten()], ["_m_row", "place", "unit"])
+                start = np.array([part.column(1)[i].as_py(), part.column(2)[i].as_py(), len(holes), *holes], "<i8").tobytes()
+                row += [i] * max(1, len(of))
+                load += [start + b"".join(got), *[b""] * (len(of) - 1)]
+                rare += of or [""]
+                if len(row) >= 4096:
+                    yield from out()
+            yield from out()
+
+    # a document is the row with its load and the rows of its further rare units
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        done: list[tuple] = []
+
+        def finish(k: object, load: bytes, units: list[bytes]) -> None:
+            size, check, n = np.frombuffer(load, "<i8", 3).tolist()
+            parts, upto, ids = [], 0, load[24 + 8 * n :]
+            for h, u in zip(np.frombuffer(load, "<i8", n, 24).tolist(), units):
+                parts += (ids[upto:h], u)
+                upto = h
+            a = np.frombuffer(b"".join([*parts, ids[upto:]]), m.width).astype("<u4")
+            back = m.decode(a.tolist())
+            done.append((k, a.astype(np.int32), len(a), int(a.sum(dtype=np.int64)), zlib.crc32(a.tobytes()), len(back) == size and zlib.crc32(back) == check))
 
-    wanted = spread.mapInArrow(rare_units, "_m_row bigint, place int, unit string").join(units.select("unit", "ids"), "unit")
-    found = wanted.groupBy("_m_row").agg(F.collect_list(F.struct("place", "ids")).alias("_m_units"))
+        def out() -> pa.RecordBatch:
+            keys, ids, n, *more = zip(*done, strict=True)
+            done.clear()
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(keys, type_), lists, *(pa.array(x, pa.int64()) for x in (n, *more[:2])), pa.array(more[2], pa.bool_())], [key, "ids", "n_pieces", "id_sum", "ids_crc32", "decodes"])
+
+        now, type_ = None, None
+        for b in parts_of(batches, 4096):
+            type_ = b.column(0).type
+            loads = b.column(1).to_pylist()
+            keys = iter(b.column(0).take(pa.array([i for i, x in enumerate(loads) if x], pa.int32())).to_pylist())
+            for load, unit in zip(loads, m.spelt(b.column(2).to_pylist(), b.column(3).to_numpy()), strict=True):
+                if load:
+                    if now:
+                        finish(*now)
+                    now = (next(keys), load, [unit])
+                    if len(done) >= 128:
+                        yield out()
+                else:
+                    now[2].append(unit)
+        if now:
+            finish(*now)
+            yield out()
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, unpacker = shared.value, zstandard.ZstdDecompressor()
-        for part in parts_of(batches, 128):
-            out, n, total, crc, same = [], [], [], [], []
-            for size, check, ids, holes, table in zip(*(part.column(c).to_pylist() for c in ("_m_size", "_m_crc", "ids", "holes", "_m_units")), strict=True):
-                ids = unpacker.decompress(ids)
-                if holes:
-                    of = {u["place"]: u["ids"] for u in table}
-                    parts, upto = [], 0
-                    for k, h in enumerate(holes):
-                        parts += (ids[upto:h], of[k])
-                        upto = h
-                    ids = b"".join([*parts, ids[upto:]])
-                a = np.frombuffer(ids, m.width).astype("<u4")
-                out.append(a.astype(np.int32))
-                n.append(len(a))
-                total.append(int(a.sum(dtype=np.int64)))
-                crc.append(zlib.crc32(a.tobytes()))
-                back = m.decode(a.tolist())
-                same.append(len(back) == size and zlib.crc32(back) == check)
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([part.column("_m_key"), lists, *(pa.array(x, pa.int64()) for x in (n, total, crc)), pa.array(same, pa.bool_())], [key, "ids", "n_pieces", "id_sum", "ids_crc32", "decodes"])
-
-    whole = spread.join(found, "_m_row", "left").select("_m_key", "_m_size", "_m_crc", "ids", "holes", "rare", "_m_units")
-    return whole.mapInArrow(fill, f"`{key}` {kind}, ids array<int>, n_pieces bigint, id_sum bigint, ids_crc32 bigint, decodes boolean")
+    kind = df.schema[key].dataType.simpleString()
+    spelt = rows.mapInArrow(spell, f"_m_key {kind}, load binary, unit string, spans array<int>")
+    return borders(spelt, model, "_m_key", kind).mapInArrow(fill, f"`{key}` {kind}, ids array<int>, n_pieces bigint, id_sum bigint, ids_crc32 bigint, decodes boolean")
