@@ -28,7 +28,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +38,16 @@ from .common import parts_of, staged, texts_of
 
 MARK = "▁"
 LONG = 61
-BITS = 22
+#: Bits of a place in the bitmaps: of pieces of two and three characters, of longer ones, of runs inside them.
+BITS, LONG_BITS, RUN_BITS = 22, 20, 24
 BLOCK = 1 << 16
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 UNKNOWN = -100.0
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return ((h * _TURN) >> np.uint64(64 - BITS)).astype(np.int64)
+def _slots(h: np.ndarray, bits: int = BITS) -> np.ndarray:
+    return ((h * _TURN) >> np.uint64(64 - bits)).view(np.int64)
 
 
 def _rolled(codes: np.ndarray) -> np.ndarray:
@@ -78,23 +78,23 @@ class PieceModel:
     def number(self) -> np.ndarray:
         """Number of each character that pieces have; 0 for all others."""
         chars = sorted({ord(c) for p, _, _ in self.rows for c in p})
-        out = np.zeros(0x110000, np.uint64)
+        out = np.zeros(0x110000, np.uint16 if len(chars) < 1 << 16 else np.uint32)
         out[chars] = np.arange(1, len(chars) + 1)
         return out
 
     def _hashes(self, text: str) -> np.ndarray:
-        return self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        return self.number.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.uint64)
 
     @functools.cached_property
     def bitmaps(self) -> tuple[list[np.ndarray], np.ndarray]:
         """Hashed bitmaps of the pieces of each length, and of the runs of four characters inside longer ones."""
-        whole, runs = [np.zeros(1 << BITS, bool) for _ in range(self.longest + 1)], np.zeros(1 << BITS, bool)
+        whole, runs = [np.zeros(1 << (BITS if n < 4 else LONG_BITS), bool) for n in range(self.longest + 1)], np.zeros(1 << RUN_BITS, bool)
         for n in range(1, self.longest + 1):
             if same := [p for p, _, _ in self.rows if len(p) == n]:
                 c = self._hashes("".join(same)).reshape(-1, n)
-                whole[n][_slots(_rolled(c))] = True
+                whole[n][_slots(_rolled(c), BITS if n < 4 else LONG_BITS)] = True
                 for s in range(n - 3):
-                    runs[_slots(_rolled(c[:, s : s + 4]))] = True
+                    runs[_slots(_rolled(c[:, s : s + 4]), RUN_BITS)] = True
         return whole, runs
 
     def units(self, text: str | None) -> list[str]:
@@ -112,16 +112,16 @@ class PieceModel:
             last, n = start + size >= len(codes), len(c)
             cross = np.zeros(n + 1, bool)
             h = c[:-1] * _STEP + c[1:]
-            hit = two[_slots(h)]
+            hit = two.take(_slots(h))
             cross[1:n] |= hit
             if n > 2:
                 h = h[:-1] * _STEP + c[2:]
-                hit = three[_slots(h)]
+                hit = three.take(_slots(h))
                 cross[1 : n - 1] |= hit
                 cross[2:n] |= hit
             if n > 3:
                 h = h[:-1] * _STEP + c[3:]
-                hit = runs[_slots(h)]
+                hit = runs.take(_slots(h, RUN_BITS))
                 cross[1 : n - 2] |= hit
                 cross[2 : n - 1] |= hit
                 cross[3:n] |= hit
@@ -131,7 +131,8 @@ class PieceModel:
                 if len(cuts) < 2:
                     size *= 2
                     continue
-            out += [marked[a:b] for a, b in pairwise((cuts + start).tolist())]
+            places = (cuts + start).tolist()
+            out += map(marked.__getitem__, map(slice, places, places[1:]))
             start, size = start + int(cuts[-1]), BLOCK
         return out
 
@@ -150,7 +151,7 @@ class PieceModel:
             h = h[:-1] * _STEP + codes[n - 1 :]
             if not len(h):
                 break
-            hit = np.flatnonzero((room[: len(h)] >= n) & self.bitmaps[0][n][_slots(h)])
+            hit = np.flatnonzero((room[: len(h)] >= n) & self.bitmaps[0][n].take(_slots(h, BITS if n < 4 else LONG_BITS)))
             at.append(hit)
             size.append(np.full(len(hit), n))
         packed = np.sort((np.concatenate(at) << 8) | np.concatenate(size)) if at else np.zeros(0, np.int64)
@@ -209,10 +210,13 @@ class PieceModel:
         return {p: i for p, i, _ in self.rows}
 
     @functools.cached_property
-    def sounds(self) -> dict[int, bytes]:
+    def sounds(self) -> list[bytes]:
         """UTF-8 of each id, marks as blanks."""
-        out = {self.byte0 + b: bytes([b]) for b in range(256)}
-        return out | {i: p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, i, _ in self.rows}
+        out = [b""] * (max([self.byte0 + 255, *(i for _, i, _ in self.rows)]) + 1)
+        out[self.byte0 : self.byte0 + 256] = [bytes([b]) for b in range(256)]
+        for p, i, _ in self.rows:
+            out[i] = p.replace(MARK, " ").encode("utf-8", "surrogatepass")
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the text that the ids spell."""
@@ -442,15 +446,13 @@ def encode_documents(df: DataFrame, model: PieceModel, *, key: str = "doc_id", t
                 words = m.units(t)
                 got = list(map(table.get, words))
                 holes, of = [], []
-                if None in got:
-                    n = 0
-                    for w, x in zip(words, got, strict=True):
-                        if x is None:
-                            holes.append(n)
-                            of.append(w)
-                        else:
-                            n += len(x)
-                    got = [x for x in got if x is not None]
+                n = last = 0
+                for _ in range(got.count(None)):
+                    k = got.index(None, last)
+                    n += sum(map(len, got[last:k]))
+                    holes.append(n)
+                    of.append(words[k])
+                    got[k], last = b"", k
                 start = np.array([part.column(1)[i].as_py(), part.column(2)[i].as_py(), len(holes), *holes], "<i8").tobytes()
                 row += [i] * max(1, len(of))
                 load += [start + b"".join(got), *[b""] * (len(of) - 1)]
