@@ -25,7 +25,6 @@ from __future__ import annotations
 import functools
 import heapq
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -102,10 +101,15 @@ class PieceModel:
         if not text:
             return []
         marked = (MARK + text).replace(" ", MARK)
+        places = self.cuts(marked).tolist()
+        return list(map(marked.__getitem__, map(slice, places, places[1:])))
+
+    def cuts(self, marked: str) -> np.ndarray:
+        """Places of a marked text that no piece spans, its ends among them."""
         codes, (whole, runs) = self._hashes(marked), self.bitmaps
         two = whole[2] if self.longest > 1 else np.zeros(1 << BITS, bool)
         three = whole[3] if self.longest > 2 else np.zeros(1 << BITS, bool)
-        out: list[str] = []
+        out = [np.zeros(1, np.int64)]
         start, size = 0, BLOCK
         while start < len(codes):
             c = codes[start : start + size]
@@ -131,10 +135,9 @@ class PieceModel:
                 if len(cuts) < 2:
                     size *= 2
                     continue
-            places = (cuts + start).tolist()
-            out += map(marked.__getitem__, map(slice, places, places[1:]))
+            out.append(cuts[1:] + start)
             start, size = start + int(cuts[-1]), BLOCK
-        return out
+        return np.concatenate(out)
 
     def spans(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(unit, start, length) of the substrings that can be pieces of two characters and more (of one, too, in a unigram model)."""
@@ -271,23 +274,70 @@ def _best_path(word: str, table: dict[str, tuple[int, float]], longest: int) ->
     return out[::-1]
 
 
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(BLOCK - 1, x, np.uint64)])) for x in (int(_STEP), pow(int(_STEP), -1, 1 << 64)))
+
+
+def _unit_hashes(marked: str, cuts: np.ndarray) -> np.ndarray:
+    """Hash of each unit between two cuts; the same wherever it stands, unless it crosses a block's end."""
+    points, (up, down) = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32), _powers()
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points + np.uint64(1)) * (up[: len(points)] if len(points) <= BLOCK else np.resize(up, len(points))), out=total[1:])
+    at = total[cuts]
+    return (at[1:] - at[:-1]) * down[cuts[:-1] & (BLOCK - 1)]
+
+
 def count_units(df: DataFrame, text: str, model: PieceModel, most: int = 200_000) -> DataFrame:
-    """(unit, c): distinct units and how often they come, summed in the task first."""
+    """(unit, c): distinct units and how often they come, summed in the task first.
+
+    Within a task units are told apart by 64-bit hashes. The counts only choose which units are
+    encoded ahead, so two units of one hash could move that choice, never an encoding.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, c = shared.value, Counter()
+        m, count, names = shared.value, {}, []
+        held: list[tuple[str, np.ndarray, np.ndarray]] = []
+
+        def add() -> None:
+            if not held:
+                return
+            hashes, first, n = np.unique(np.concatenate([h for _, _, h in held]), return_index=True, return_counts=True)
+            ends = np.cumsum([len(h) for _, _, h in held])
+            of = np.searchsorted(ends, first, "right")
+            place = first - np.concatenate([[0], ends])[of]
+            for h, c, o, k in zip(hashes.tolist(), n.tolist(), of.tolist(), place.tolist(), strict=True):
+                if h in count:
+                    count[h] += c
+                else:
+                    count[h] = c
+                    marked, cuts, _ = held[o]
+                    names.append(marked[cuts[k] : cuts[k + 1]])
+            held.clear()
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["unit", "c"])
-            c.clear()
+            got = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(count.values()), pa.int64())], ["unit", "c"])
+            count.clear()
+            names.clear()
             return got
 
+        size = 0
         for b in batches:
             for t in texts_of(b.column(0)):
-                c.update(m.units(t))
-                if len(c) > most:
-                    yield out()
+                if not t:
+                    continue
+                marked = (MARK + t).replace(" ", MARK)
+                cuts = m.cuts(marked)
+                held.append((marked, cuts, _unit_hashes(marked, cuts)))
+                size += len(marked)
+                if size >= 1 << 21:
+                    add()
+                    size = 0
+                    if len(count) > most:
+                        yield out()
+        add()
         yield out()
 
     return df.select(F.col(text).alias("_m_text")).mapInArrow(work, "unit string, c bigint").groupBy("unit").agg(F.sum("c").alias("c"))
