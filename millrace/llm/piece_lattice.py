@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts_of, staged, texts_of
+from .common import parts_of, release, staged, texts_of
 
 MARK = "▁"
 LONG = 61
@@ -289,7 +289,7 @@ def _unit_hashes(marked: str, cuts: np.ndarray) -> np.ndarray:
     return (at[1:] - at[:-1]) * down[cuts[:-1] & (BLOCK - 1)]
 
 
-def count_units(df: DataFrame, text: str, model: PieceModel, most: int = 200_000) -> DataFrame:
+def count_units(df: DataFrame, text: str, model: PieceModel, most: int = 120_000) -> DataFrame:
     """(unit, c): distinct units and how often they come, summed in the task first.
 
     Within a task units are told apart by 64-bit hashes. The counts only choose which units are
@@ -321,6 +321,7 @@ def count_units(df: DataFrame, text: str, model: PieceModel, most: int = 200_000
             got = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(count.values()), pa.int64())], ["unit", "c"])
             count.clear()
             names.clear()
+            release()
             return got
 
         size = 0
@@ -332,7 +333,7 @@ def count_units(df: DataFrame, text: str, model: PieceModel, most: int = 200_000
                 cuts = m.cuts(marked)
                 held.append((marked, cuts, _unit_hashes(marked, cuts)))
                 size += len(marked)
-                if size >= 1 << 21:
+                if size >= 1 << 20:
                     add()
                     size = 0
                     if len(count) > most:
