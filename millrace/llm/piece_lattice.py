@@ -40,13 +40,14 @@ LONG = 61
 #: Bits of a place in the bitmaps: of pieces of two and three characters, of longer ones, of runs inside them.
 BITS, LONG_BITS, RUN_BITS = 22, 20, 24
 BLOCK = 1 << 16
-_TURN = np.uint64(0x9E3779B97F4A7C15)
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+_TURN = np.uint32(0x9E3779B1)
+_STEP = np.uint32(0x85EBCA77)
+_BASE = 0xD6E8FEB86659FD93
 UNKNOWN = -100.0
 
 
 def _slots(h: np.ndarray, bits: int = BITS) -> np.ndarray:
-    return ((h * _TURN) >> np.uint64(64 - bits)).view(np.int64)
+    return ((h * _TURN) >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def _rolled(codes: np.ndarray) -> np.ndarray:
@@ -77,12 +78,12 @@ class PieceModel:
     def number(self) -> np.ndarray:
         """Number of each character that pieces have; 0 for all others."""
         chars = sorted({ord(c) for p, _, _ in self.rows for c in p})
-        out = np.zeros(0x110000, np.uint16 if len(chars) < 1 << 16 else np.uint32)
+        out = np.zeros(0x110000, np.uint32)
         out[chars] = np.arange(1, len(chars) + 1)
         return out
 
     def _hashes(self, text: str) -> np.ndarray:
-        return self.number.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.uint64)
+        return self.number.take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
 
     @functools.cached_property
     def bitmaps(self) -> tuple[list[np.ndarray], np.ndarray]:
@@ -277,7 +278,7 @@ def _best_path(word: str, table: dict[str, tuple[int, float]], longest: int) ->
 @functools.cache
 def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2^64."""
-    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(BLOCK - 1, x, np.uint64)])) for x in (int(_STEP), pow(int(_STEP), -1, 1 << 64)))
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(BLOCK - 1, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
 def _unit_hashes(marked: str, cuts: np.ndarray) -> np.ndarray:
