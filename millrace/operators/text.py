@@ -39,18 +39,41 @@ def bucket_neighbours(weights: DataFrame, query: DataFrame, pool: DataFrame, *,
 
     Distances come from shared terms (an equi join on bucket and term): d^2 = 2 - 2 dot. Pairs
     without a shared term are at sqrt(2); only rows with fewer than ``k`` others get them, from the
-    bucket's 2 ``k`` least ids, which always hold enough. Rows without any term take no part.
+    bucket's least ids, which always hold enough. Rows without any term take no part.
+
+    Terms that one row of a bucket has alone add to no distance. Rows of a bucket that agree in all
+    other terms and weights are one class: classes meet pair by pair, not rows, and a class stands
+    for its ``k`` + 1 least ids, of which a row may have to leave out itself.
     """
-    q = query.join(weights, key).select(*buckets, key, "term", "weight")
-    p = pool.join(weights, key).select(*buckets, F.col(key).alias("nbr"), "term", F.col("weight").alias("w2"))
-    near = q.join(p, [*buckets, "term"]).where(F.col(key) != F.col("nbr")).groupBy(*buckets, key, "nbr").agg(F.sum(F.col("weight") * F.col("w2")).alias("dot"))
-    d = near.select(*buckets, key, "nbr", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot"))).alias("distance"))
-    w = W.partitionBy(*buckets, key).orderBy("distance", "nbr")
-    short = q.select(*buckets, key).distinct().join(d.groupBy(*buckets, key).agg(F.count("*").alias("_n")), [*buckets, key], "left").where(F.coalesce("_n", F.lit(0)) < k).drop("_n")
-    least = p.select(*buckets, "nbr").distinct().withColumn("_i", F.row_number().over(W.partitionBy(*buckets).orderBy("nbr"))).where(F.col("_i") <= 2 * k).drop("_i")
-    far = short.join(least, buckets).where(F.col(key) != F.col("nbr")).join(d.select(*buckets, key, "nbr"), [*buckets, key, "nbr"], "left_anti")
-    both = d.unionByName(far.withColumn("distance", F.sqrt(F.lit(2.0))))
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    part = query.select(*buckets, key, F.lit(True).alias("_q"), F.lit(False).alias("_p")).unionByName(pool.select(*buckets, key, F.lit(False).alias("_q"), F.lit(True).alias("_p")))
+    part = part.dropna(subset=[*buckets, key]).groupBy(*buckets, key).agg(F.max("_q").alias("_q"), F.max("_p").alias("_p"))
+    v = part.join(weights.select(key, "term", "weight"), key)
+    often = v.groupBy(*buckets, "term").agg(F.count("*").alias("_n")).where("_n > 1")
+    shared = F.when(F.col("_n").isNotNull(), F.struct("term", "weight"))
+    rows = v.join(often, [*buckets, "term"], "left").groupBy(*buckets, key, "_q", "_p").agg(F.array_sort(F.collect_list(shared)).alias("_v"))
+
+    asked = rows.where("_q").groupBy(*buckets, "_v").agg(F.min(key).alias("_a"))
+    least = rows.where("_p").select(*buckets, "_v", F.col(key).alias("nbr"))
+    held = least.withColumn("_i", F.row_number().over(W.partitionBy(*buckets, "_v").orderBy("nbr"))).where(F.col("_i") <= k + 1)
+    held = held.groupBy(*buckets, "_v").agg(F.min("nbr").alias("_c"), F.collect_list("nbr").alias("_ids"))
+    q = asked.select(*buckets, "_a", F.inline("_v")).withColumnRenamed("weight", "w1")
+    p = held.select(*buckets, "_c", F.inline("_v")).withColumnRenamed("weight", "w2")
+    dots = q.join(p, [*buckets, "term"]).groupBy(*buckets, "_a", "_c").agg(F.sum(F.col("w1") * F.col("w2")).alias("dot"))
+    d = dots.select(*buckets, "_a", "_c", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("dot"))).alias("distance"))
+    d = d.withColumn("_i", F.row_number().over(W.partitionBy(*buckets, "_a").orderBy("distance", "_c"))).where(F.col("_i") <= k + 1).drop("_i")
+    d = d.join(held.select(*buckets, "_c", "_ids"), [*buckets, "_c"]).select(*buckets, "_a", "distance", F.explode("_ids").alias("nbr"))
+    near = d.groupBy(*buckets, "_a").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "nbr"))), 1, k + 1).alias("_near"))
+
+    least = least.withColumn("_i", F.row_number().over(W.partitionBy(*buckets).orderBy("nbr"))).where(F.col("_i") <= 2 * k + 1)
+    least = least.groupBy(*buckets).agg(F.array_sort(F.collect_list("nbr")).alias("_least"))
+    found = F.coalesce("_near", F.array().cast(near.schema["_near"].dataType))
+    ids = F.transform(found, lambda x: x["nbr"])
+    far = F.transform(F.filter("_least", lambda i: ~F.array_contains(ids, i)), lambda i: F.struct(F.sqrt(F.lit(2.0)).alias("distance"), i.alias("nbr")))
+    all_ = asked.join(near, [*buckets, "_a"], "left").join(least, buckets)
+    all_ = all_.select(*buckets, "_v", F.when(F.size(found) > k, found).otherwise(F.concat(found, far)).alias("_all"))
+    own = rows.where("_q").select(*buckets, key, "_v").join(all_, [*buckets, "_v"])
+    own = own.select(*buckets, key, F.posexplode(F.slice(F.filter("_all", lambda x: x["nbr"] != F.col(key)), 1, k)).alias("_i", "_x"))
+    return own.select(*buckets, key, "_x.nbr", "_x.distance", (F.col("_i") + 1).alias("rank"))
 
 
 def neighbour_weights(near: DataFrame, *, keys: list[str], far: float = 0.9) -> DataFrame:

@@ -166,6 +166,41 @@ def test_text(spark):
     assert all(r.s is None or math.isclose(r.s, 1) for r in sums)
 
 
+def rows_made(node):
+    """Rows that each step of an executed plan gave."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return rows_made(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return rows_made(node.plan())
+    metric, children = node.metrics().get("numOutputRows"), node.children()
+    return ([metric.get().value()] if metric.isDefined() else []) + [n for i in range(children.size()) for n in rows_made(children.apply(i))]
+
+
+def test_neighbours_of_equal_texts(spark):
+    """Equal texts meet as one class, not pair by pair; the rows are those of all pairs."""
+    r = np.random.default_rng(3)
+    data = [(i, int(r.integers(3)), " ".join(r.choice(["red", "old", "new", "car", "rod"], int(r.integers(0, 4)))) + f" x{i}" * int(r.integers(2))) for i in range(90)] + [(90, 3, "lone"), (91, 3, "odd"), (92, 4, "self")]
+    df = spark.createDataFrame(data, "id int, b int, name string")
+    w = text.tf_idf(df, key="id", text="name")
+    vec, bucket = {}, {i: b for i, b, _ in data}
+    for x in w.collect():
+        vec.setdefault(x.id, {})[x.term] = x.weight
+    got = {}
+    for x in text.bucket_neighbours(w, df.where("id % 2 = 0"), df.where("id % 3 > 0 or id > 89"), key="id", buckets=["b"], k=3).collect():
+        got.setdefault(x.id, []).append((x.rank, x.nbr, x.distance))
+    for i, v in vec.items():
+        if i % 2 == 0:
+            want = sorted((round(math.sqrt(max(0, 2 - 2 * sum(c * vec[j].get(t, 0) for t, c in v.items()))), 6), j) for j in vec if j != i and bucket[j] == bucket[i] and (j % 3 or j > 89))[:3]
+            assert [round(x[2], 6) for x in sorted(got.pop(i, []))] == [x[0] for x in want]
+    assert not got
+
+    same = spark.range(4000).select("id", F.lit(0).alias("b"), F.lit("hot bolt").alias("name"))
+    near = text.bucket_neighbours(text.tf_idf(same, key="id", text="name"), same, same, key="id", buckets=["b"], k=3)
+    assert len(near.collect()) == 12000
+    assert max(rows_made(near._jdf.queryExecution().executedPlan())) < 100_000  # all pairs are 16 million
+
+
 def test_evaluation(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.1), (0, 0.6)], "y int, s double")
     got = {r.threshold: r.mcc for r in evaluation.mcc_by_threshold(df, "y", "s", [0.5, 0.7]).collect()}
