@@ -366,6 +366,25 @@ def test_class_ngrams(docs, local):
     assert class_ngrams.score(rows, model, counts, keep=["doc_id"]).where("n_known > 0").count() == 0
 
 
+def test_class_ngrams_end_beyond_the_head(spark):
+    """The end of a text is counted where more words than ``head`` are more frequent than it; a small head scores as a large one."""
+    rows = [(i, " ".join(f"w{j % (9 + i)} v{j % 7}" for j in range(120))) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    c = collections.Counter(w for _, t in rows for w in [*lower_words_of(t), b""])
+    n, v = sum(c.values()), len(c)
+    scores = []
+    for head in (1 << 18, 12, 5):
+        model, counts = class_ngrams.fit(df, items=5, groups=4, classes=4, head=head)
+        assert model.count[model.ids[b""]] == 3
+        got = class_ngrams.score(df, model, counts, keep=["doc_id"]).orderBy("doc_id").collect()
+        for r, (_, t) in zip(got, rows, strict=True):
+            w = [*lower_words_of(t), b""]
+            assert (r.n_tokens, r.n_known) == (len(w), len(w))
+            assert np.isclose(r.base_score, sum(np.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+        scores.append([r.score for r in got])
+    assert np.allclose(scores[0], scores[1]) and np.allclose(scores[0], scores[2])
+
+
 def test_pieces(spark, docs):
     import sentencepiece
 
