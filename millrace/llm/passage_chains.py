@@ -5,7 +5,9 @@ that share any run of ``k + window - 1`` words share a seed. Each seed that two
 hold is matched to its first holder (the document of least id), so a passage in a third
 of all documents gives as many matches as occurrences, not their square. Seeds that lie in
 no passage found so are matched once more, to their second holder: the parts of a passage may
-have been seen apart in earlier documents before one held it whole. For each pair of
+have been seen apart in earlier documents before one held it whole. Where seeds still lie in no
+passage, all runs of ``min_words`` words around them go to their first holder of all, so a run
+that any earlier document holds word for word is found however its seeds are spread. For each pair of
 documents the matches are chained in order with gap costs, the best predecessor being found
 in a Fenwick tree of prefix maxima; chains are aligned over the words between and beyond
 their seeds, and kept as fuzzy passages when they are long and alike enough.
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WordHash, lower_words_of, parts_of, staged, texts_of, window_hashes
@@ -143,6 +146,34 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def open_starts(p: np.ndarray, shared: np.ndarray, free: np.ndarray, k: int, window: int, words: int) -> list[tuple[int, int]]:
+    """Ranges [lo, hi] of starts of runs of ``words`` words that another document may hold and that a ``free`` seed lies amid.
+
+    ``p`` are a document's seed places. Seeds ``window`` - 1 places inside a run's ends are chosen by
+    the run alone, so in a repeated run all of them are shared.
+    """
+    first, last = window - 1, words - k - (window - 1)
+    if last < first:  # runs too short for that: all around free seeds
+        first, last, shared = 0, max(0, words - k), np.ones(len(p), bool)
+    edges = p[~shared]
+    out: list[tuple[int, int]] = []
+    for w in p[free].tolist():
+        i = int(np.searchsorted(edges, w))
+        lo, hi = w - last, w - first
+        if i:
+            lo = max(lo, int(edges[i - 1]) - first + 1)
+        if i < len(edges):
+            hi = min(hi, int(edges[i]) - last - 1)
+        lo = max(lo, 0)
+        if lo > hi:
+            continue
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _kind(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("doc"), F.col("_m_text")).where("doc is not null")
 
@@ -278,7 +309,50 @@ def repeated_passages(df: DataFrame, *, key: str = "doc_id", text: str = "text",
     second = staged(second.select("h", "second"), "second")  # written, so that both sides of the join are exchanges that can be split
     rest = matches.join(covered, "doc", "left").where(outside).select("doc", "x", "h").join(second, "h").where("doc > second.doc")
     more = passages(rest.select("doc", F.col("second.doc").alias("lead"), "x", F.col("second.x").alias("y")))
-    return spans.unionByName(more).withColumnRenamed("doc", key)
+    spans = spans.unionByName(more)
+    covered = spans.groupBy("doc").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    rest = staged(matches.join(covered, "doc", "left").where(outside).select("h").distinct(), "rest")
+    open_ = df.sparkSession.sparkContext.broadcast(bitmap(rest, "h"))
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            cuts, h, p = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))]), b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy().astype(np.int64)
+            both, free = holds(wanted.value, h), holds(open_.value, h)
+            for i in np.unique(np.searchsorted(cuts, np.flatnonzero(free & both), "right") - 1):
+                at = slice(cuts[i], cuts[i + 1])
+                found = open_starts(p[at], both[at], free[at] & both[at], k, window, min_words)
+                if found:
+                    rows.append((b.column(0)[int(i)].as_py(), *map(list, zip(*found, strict=True))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], ["doc", "lo", "hi"])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts_of(batches, 64):
+            d, hs, xs = [], [], []
+            for doc, w, lo, hi in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = np.frombuffer(w, np.uint32).astype(np.uint64)
+                for s, e in zip(lo, hi, strict=True):
+                    part = words[max(0, s) : e + min_words]
+                    if len(part) >= min_words:
+                        hs.append(window_hashes(part, min_words).view(np.int64))
+                        xs.append(np.arange(len(hs[-1])) + max(0, s))
+                        d.append(np.full(len(hs[-1]), doc))
+            whole = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (hs, d, xs)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in whole], ["r", "doc", "x"])
+
+    # what parts seen apart hide from both rounds: runs of ``min_words`` words, each with its first holder of all
+    near = staged(held.mapInArrow(ranges, "doc bigint, lo array<bigint>, hi array<bigint>").groupBy("doc").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")), "ranges")
+    needed = df.sparkSession.sparkContext.broadcast(bitmap(near, "doc"))
+    texts = docs.mapInArrow(hashed(needed), "doc bigint, w binary").groupBy("doc").agg(F.first("w").alias("w"))
+    every = staged(texts.join(near, "doc").select("doc", "w", "lo", "hi").mapInArrow(runs, "r bigint, doc bigint, x bigint"), "runs")
+    holder = every.groupBy("r").agg(F.min(F.struct("doc", "x")).alias("first"), F.max("doc").alias("last")).where("last > first.doc").select("r", "first")
+    uncut = F.col("spans").isNull() | ~F.exists("spans", lambda s: (s["start_word"] <= F.col("x")) & (F.col("x") + min_words <= s["end_word"]))
+    again = every.join(holder, "r").where("doc > first.doc").select("doc", F.col("first.doc").alias("lead"), "x", F.col("first.x").alias("y")).join(covered, "doc", "left").where(uncut)
+    # neighbouring runs of one holder on one diagonal are one span
+    step = again.withColumn("g", F.col("x") - F.row_number().over(W.partitionBy("doc", "lead", F.col("y") - F.col("x")).orderBy("x")))
+    exact = step.groupBy("doc", "lead", (F.col("y") - F.col("x")).alias("off"), "g").agg(F.min("x").alias("lo"), (F.max("x") + min_words).alias("hi"))
+    exact = exact.select("doc", F.col("lo").alias("start_word"), F.col("hi").alias("end_word"), F.col("lead").alias("first_id"), (F.col("lo") + F.col("off")).alias("first_start"), (F.col("hi") + F.col("off")).alias("first_end"), F.lit(1.0).alias("alike"))
+    return spans.unionByName(staged(exact, "exact")).withColumnRenamed("doc", key)
 
 
 def cut_passages(df: DataFrame, spans: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -308,6 +308,30 @@ def chained_by_force(x, y, k, gap, max_gap):
     return score
 
 
+def test_passages_behind_two_holders(spark):
+    """The halves stand apart in two earlier documents each, so no seed of the whole has its holder among its first two; nor has a line that repeats itself."""
+    one, two, line = prose(611, 40), prose(612, 40), prose(613, 9)
+    texts = [f"{prose(614 + i, 30)} {half} {prose(624 + i, 30)}" for i, half in enumerate([one, one, one, two, two, two])]
+    texts += [f"{prose(634, 20)} {one} {two}", f"{one} {two} {prose(635, 25)}", f"{prose(636, 30)} {' '.join([line] * 12)}", f"{prose(637, 40)} {' '.join([line] * 10)} {prose(638, 30)}"]
+    spans = passage_chains.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.first_id, r.start_word, r.end_word, r.first_start, r.first_end) for r in spans if r.doc_id == 7] == [(6, 0, 80, 20, 100)]
+    assert set().union(*(range(r.start_word, r.end_word) for r in spans if r.doc_id == 9 and r.first_id == 8)) == set(range(40, 130))
+    assert {r.doc_id for r in spans} == {7, 9}
+
+
+def test_open_starts():
+    """No start of a repeated run is left out, against all runs by force."""
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        run = r.integers(0, 1 << 62, 44).astype(np.uint64)  # hashes of the 45 places of a 50-word run less one
+        sides = [np.concatenate([r.integers(0, 1 << 62, int(r.integers(0, 60))).astype(np.uint64), run, r.integers(0, 1 << 62, int(r.integers(0, 60))).astype(np.uint64)]) for _ in range(2)]
+        picked = [passage_chains.seeds(h, 12) for h in sides]
+        for h, p, other, q in [(sides[0], picked[0], sides[1], picked[1]), (sides[1], picked[1], sides[0], picked[0])]:
+            shared = np.isin(h[p], other[q])
+            start = int(np.flatnonzero(h == run[0])[0])
+            assert any(lo <= start <= hi for lo, hi in passage_chains.open_starts(p, shared, shared, 6, 12, 49))
+
+
 def test_chains_reach_the_best_score():
     r = np.random.default_rng(11)
     for _ in range(60):
